@@ -39,12 +39,39 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.token_shards import token_shards
 
     return token_shards(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.line_quality import line_quality
+
+    return line_quality(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).alias("taken"),
+        F.col("__copies").alias("copies"),
+        F.col("__rate").alias("rate"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.simhash import near_duplicates
 
@@ -52,8 +79,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op6_token_shards, op10_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op6_token_shards, op7_line_quality, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from snaptable.llm import line_quality, url_filter
+
+    return {"op3_url_filter": url_filter.ORACLE, "op7_line_quality": line_quality.ORACLE}
