@@ -45,6 +45,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.lm_score import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.token_shards import token_shards
 
@@ -79,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op6_token_shards, op7_line_quality, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_lm_score, op6_token_shards, op7_line_quality, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
