@@ -51,6 +51,14 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, remainder("doc_id", 4) != 2)
+    return identify(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.token_shards import token_shards
 
@@ -85,7 +93,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_lm_score, op6_token_shards, op7_line_quality, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_lm_score, op5_language, op6_token_shards, op7_line_quality, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
