@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -191,39 +192,81 @@ class ShardReader:
         return out
 
 
+#: Words whose ids are surely those of the letters and then those of the marks: one pre-token each.
+_PLAIN = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)\Z")
+_RUN = 256  # plain words encoded in one call
+
+
 class WordEncoder:
     """Encodes texts word by word, with a bounded cache of words.
 
-    Only for a tokenizer whose pre-tokenizer drops white space and whose normalizer does not
-    look across it, as the word-end BPE does: then a text's ids are its words' ids in order."""
+    Only for a lower-casing tokenizer whose pre-tokenizer drops white space and whose normalizer
+    does not look across it, as the word-end BPE does: then a text's ids are its words' ids in
+    order. New plain words are encoded many at a time and told apart by their word-end ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode().split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = list(set().union(*words).difference(cache)) if words else []
-        kind = f"<u{self.width}"
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded, strict=True):
-                cache[w] = np.array(e.ids, dtype=kind).tobytes()
-        get = cache.__getitem__
+        words = [t.encode().lower().split() for t in texts]  # bytes: only A-Z change here
+        if len(self.cache) > CACHE_WORDS:  # words not met again by the next time are forgotten
+            self.older, self.cache = self.cache, {}
+        missing = list(set().union(*words).difference(self.cache)) if words else []
+        older = self.older
+        self._learn([w for w in missing if w not in older])
+        self.cache.update((w, older[w]) for w in missing if w in older)
+        get = self.cache.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for w in missing:
             if len(w) > 64:  # long ones are not kept
-                del cache[w]
+                del self.cache[w]
         return out
 
+    def _learn(self, missing: list[bytes]) -> None:
+        cache, cores, marks, composed, others = self.cache, set(), set(), [], []
+        for w in missing:
+            text = w.decode()
+            if m := _PLAIN.match(text):
+                core, mark = m.groups()
+                cores.add(core)
+                if mark:
+                    marks.add(mark)
+                composed.append((w, core, mark))
+            else:
+                others.append(w)
+        known = self._plain(list(cores)) | dict(zip(marks, self._each(list(marks)), strict=True)) | {"": b""}
+        for w, core, mark in composed:
+            cache[w] = known[core] + known[mark]
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
+            cache.update(zip(part, self._each([w.decode() for w in part]), strict=True))
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        found, size = {}, self.width
+        runs = [words[at : at + _RUN] for at in range(0, len(words), _RUN)]
+        for part, coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * size
+            if len(ends) != len(part):  # a tokenizer without word ends
+                found.update(zip(part, self._each(part), strict=True))
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            found.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+        return found
+
 
 _encoders: dict[str, WordEncoder] = {}
 
