@@ -71,6 +71,14 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_matches")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.mixing import mix
 
@@ -93,7 +101,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_lm_score, op5_language, op6_token_shards, op7_line_quality, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_lm_score, op5_language, op6_token_shards, op7_line_quality, op8_toxicity, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
