@@ -286,7 +286,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
         if not counts:
             break
         best, n = max(counts.items(), key=lambda x: (x[1] - cost[x[0]], -x[0]))
-        if n - cost[best] < enough:
+        if n - cost[best] < 2:  # what is left are a few texts that share no term
             break
         chosen.append(candidates[best])
         rows = [r for r in rows if best not in r]
