@@ -39,6 +39,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snaptable.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.url_filter import url_filter
 
@@ -101,7 +107,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_url_filter, op4_lm_score, op5_language, op6_token_shards, op7_line_quality, op8_toxicity, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_url_filter, op4_lm_score, op5_language, op6_token_shards, op7_line_quality, op8_toxicity, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
