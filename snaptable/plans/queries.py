@@ -1,20 +1,444 @@
-"""The registered queries of the engine, and their SQL."""
+"""The registered queries of the engine, and the SQL each is compared with.
+
+Every query drives the engine over whole tables: it opens a database of its own, loads, runs
+statements, and returns what the engine reads back."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from snaptable.cache import LRU2, ClockSweep, PageCache, Policy
+from snaptable.database import Database
+from snaptable.executor import Session
+from snaptable.operators import scan, snapshot
+from snaptable.sources.place import shared_folder
+from snaptable.streaming.changes import changes_since, write_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+TABLES = {
+    "nation": (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")),
+    "part": (("p_partkey", "int"), ("p_name", "string"), ("p_brand", "string"), ("p_size", "int")),
+    "customer": (("c_custkey", "int"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")),
+    "orders": (("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "string"), ("o_orderpriority", "string")),
+}
+
+
+def new_database(spark: SparkSession, **how) -> Database:
+    """An empty database; its files lie in the folder that the executors share."""
+    place = shared_folder(spark, "database")
+    if place.startswith("file:") or place.startswith("/"):
+        return Database(spark, place, **how)
+    return Database(spark, tempfile.mkdtemp(prefix="snaptable-log-"), data=f"{place}/data", **how)
+
+
+def loaded(spark: SparkSession, sf_dir: str, *names: str) -> tuple[Database, Session]:
+    db = new_database(spark)
+    for name in names:
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*[c for c, _ in TABLES[name]])
+        db.create_table(name, TABLES[name]).load(rows)
+    return db, Session(db)
+
+
+def done(session: Session, *statements: str) -> list:
+    """Runs statements that must succeed."""
+    out = []
+    for s in statements:
+        result = session.execute(s)
+        if not result.ok:
+            raise RuntimeError(f"{s}: {result.message}")
+        out.append(result)
+    return out
+
+
+def select(*tables: str, sql: str, before: tuple[str, ...] = ()) -> Query:
+    """A query that loads tables, runs statements, and returns a SELECT's rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db, session = loaded(spark, sf_dir, *tables)
+        done(session, *before)
+        found = session.frame(sql)
+        db.close()
+        return found
+
+    return run
+
+
+def typed(name: str, where: str = "") -> str:
+    """DuckDB's SELECT of a table's engine columns, ints as BIGINT."""
+    columns = [f"CAST({c} AS BIGINT) AS {c}" if t == "int" else c for c, t in TABLES[name]]
+    return f"SELECT {', '.join(columns)} FROM {name} {where}"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.filter("o_orderkey > 100").select("o_orderkey", "o_orderstatus")
+    return select("orders", sql="SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 100;")(spark, sf_dir)
+
+
+# Reads -----------------------------------------------------------------------------------------
+
+
+def numeric_vs_lexicographic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``> 900`` on the same column as an int and as a string."""
+    db = new_database(spark)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    out = []
+    for kind, literal in (("int", "900"), ("string", "'900'")):
+        db.create_table(f"o_{kind}", (("k", "string"), ("v", kind))).load(rows.select(F.col("o_orderkey").cast("string"), "o_orderkey"))
+        found = Session(db).frame(f"SELECT k FROM o_{kind} WHERE v > {literal};")
+        out.append(found.select(F.lit(kind).alias("reading"), "k"))
+    db.close()
+    return out[0].unionByName(out[1])
+
+
+def key_ordered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in the order in which a scan gives them: by the bytes of the key's text."""
+    db, session = loaded(spark, sf_dir, "nation")
+    rows = session.execute("SELECT * FROM nation;").rows
+    db.close()
+    data = [(i, int(r[0]), r[1]) for i, r in enumerate(rows, 1)]  # 25 fixed rows
+    return spark.createDataFrame(data, "place bigint, n_nationkey bigint, n_name string")
+
+
+def range_scan_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, _ = loaded(spark, sf_dir, "customer")
+    found = scan.range_scan(db.table("customer").raw(), "__key", "10", "12")
+    db.close()
+    return found.select(F.col("__key").alias("key"), F.col("f1").alias("c_name"))
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    return scan.search(parts, "p_partkey", 42)
+
+
+def index_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", "p_partkey")
+    return scan.range_scan(parts, "p_size", 10, 20)
+
+
+def index_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.ordered(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
+
+
+def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation by its key, through the page cache and not a Spark job."""
+    db, _ = loaded(spark, sf_dir, "nation")
+    table = db.table("nation")
+    rows = [(str(k), *(table.get_by_key(str(k)) or [None] * 3)[1:2]) for k in range(-1, 30)]
+    db.close()
+    return spark.createDataFrame(rows, "key string, n_name string")
+
+
+# Versions and snapshots ---------------------------------------------------------------------------
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value")
+
+
+def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.version_chain(events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, xmax: int) -> DataFrame:
+    kind = F.col("event_type")
+    return snapshot.visible_versions(
+        events(spark, sf_dir), "user_id", "event_id", "event_id", xmax, (17, 42), kind != "error", kind == "signup"
+    )
+
+
+def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of their user: errors were rolled back, signups delete."""
+    return _snapshot(spark, sf_dir, 600)
+
+
+def snapshot_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir, 300).withColumn("xmax", F.lit(300)).unionByName(_snapshot(spark, sf_dir, 900).withColumn("xmax", F.lit(900)))
+
+
+def old_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that began before an update, a delete and an insert, and one that began after."""
+    db, writer = loaded(spark, sf_dir, "part")
+    reader = Session(db)
+    done(reader, "BEGIN;")
+    done(
+        writer,
+        "UPDATE part SET p_name = 'changed' WHERE p_size > 25;",
+        "DELETE FROM part WHERE p_size < 5;",
+        "INSERT INTO part VALUES (1000000, 'new', 'Brand', 7);",
+    )
+    sql = "SELECT p_partkey, p_name FROM part;"
+    found = reader.frame(sql).withColumn("reader", F.lit("old")).unionByName(writer.frame(sql).withColumn("reader", F.lit("new")))
+    db.close()
+    return found
+
+
+def own_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inside a transaction: the own update, delete and insert show at once."""
+    db, session = loaded(spark, sf_dir, "part")
+    done(
+        session,
+        "BEGIN;",
+        "UPDATE part SET p_brand = 'own', p_size = 99 WHERE p_size = 10;",
+        "DELETE FROM part WHERE p_size = 11;",
+        "INSERT INTO part VALUES (7000000, 'mine', 'own', 99);",
+    )
+    found = session.frame("SELECT p_partkey, p_brand, p_size FROM part;")
+    db.close()
+    return found
+
+
+def reinsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key deleted and inserted again, and one inserted twice: the last row stands."""
+    statements = (
+        "DELETE FROM nation WHERE n_nationkey = 3;",
+        "INSERT INTO nation VALUES (3, 'AGAIN', 9);",
+        "INSERT INTO nation VALUES (4, 'OVER', 8);",
+        "UPDATE nation SET n_nationkey = 77 WHERE n_nationkey = 5;",
+    )
+    return select("nation", sql="SELECT * FROM nation;", before=statements)(spark, sf_dir)
+
+
+def fold_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows after the changes have been folded into a new base and old files deleted."""
+    db, session = loaded(spark, sf_dir, "part")
+    done(session, "UPDATE part SET p_size = 0 WHERE p_size > 40;", "DELETE FROM part WHERE p_size < 3;")
+    db.fold(db.table("part"))
+    db.vacuum()
+    found = session.frame("SELECT * FROM part WHERE p_size >= 3;")
+    db.close()
+    return found
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Committed work after the database was closed, its log torn, and opened again; open work is gone."""
+    db, session = loaded(spark, sf_dir, "nation")
+    done(session, "UPDATE nation SET n_name = 'KEPT' WHERE n_regionkey = 1;", "BEGIN;", "DELETE FROM nation;")
+    path = db.log.path
+    data = db.data
+    db.close()
+    with path.open("ab") as file:
+        file.write(b"0badc0de {\"n\":99,\"torn")
+    again = Database(spark, str(path.parent), data=data)
+    found = Session(again).frame("SELECT * FROM nation;")
+    again.close()
+    return found
+
+
+# Transactions ----------------------------------------------------------------------------------
+
+
+def rollback_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements = ("BEGIN;", "DELETE FROM nation;", "INSERT INTO nation VALUES (99, 'X', 0);", "ROLLBACK;")
+    return select("nation", sql="SELECT * FROM nation;", before=statements)(spark, sf_dir)
+
+
+def commit_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements = ("BEGIN;", "DELETE FROM nation WHERE n_regionkey = 2;", "INSERT INTO nation VALUES (99, 'X', 0);", "COMMIT;")
+    return select("nation", sql="SELECT * FROM nation;", before=statements)(spark, sf_dir)
+
+
+def multi_table_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction over two tables, as another session sees them before and after its commit."""
+    db, writer = loaded(spark, sf_dir, "nation", "customer")
+    other = Session(db)
+    done(writer, "BEGIN;", "DELETE FROM nation WHERE n_regionkey = 1;", "DELETE FROM customer WHERE c_nationkey < 10;")
+
+    def counts(when: str) -> DataFrame:
+        frames = [other.frame(f"SELECT * FROM {t};").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(t)) for t in ("nation", "customer")]
+        return frames[0].unionByName(frames[1]).withColumn("moment", F.lit(when))
+
+    before = counts("before")
+    done(writer, "COMMIT;")
+    found = before.unionByName(counts("after"))
+    db.close()
+    return found
+
+
+def dml_affected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, session = loaded(spark, sf_dir, "part")
+    results = done(
+        session,
+        "UPDATE part SET p_name = 'x' WHERE p_size >= 25;",
+        "DELETE FROM part WHERE p_size < 10;",
+        "DELETE FROM part WHERE p_partkey = 0;",
+        "INSERT INTO part VALUES (5000000, 'a', 'b', 1);",
+        "UPDATE part SET p_brand = 'z';",
+    )
+    db.close()
+    return spark.createDataFrame([(i, r.affected_rows) for i, r in enumerate(results)], "step bigint, affected bigint")
+
+
+def server_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply lines of a session over TCP."""
+    import socket
+
+    from snaptable.sources.server import SqlServer
+
+    db, _ = loaded(spark, sf_dir, "nation")
+    server = SqlServer(db, 0).start()
+    with socket.create_connection(("127.0.0.1", server.port)) as client:
+        client.sendall(b"SELECT n_name FROM nation WHERE n_nationkey = 7;DELETE FROM nation WHERE n_nationkey = 7;SELECT * FROM none;")
+        got = b""
+        while b"ERROR" not in got or not got.endswith(b"\n"):
+            got += client.recv(4096)
+    server.stop()
+    db.close()
+    return spark.createDataFrame(list(enumerate(got.decode().splitlines())), "line bigint, reply string")
+
+
+# Streams and cache -------------------------------------------------------------------------------
+
+
+def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders loaded as a stream, each batch in one commit."""
+    db = new_database(spark)
+    table = db.create_table("orders", TABLES["orders"])
+    names = [c for c, _ in TABLES["orders"]]
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select(*names)
+    write_stream(rows, table, shared_folder(spark, "stream")).awaitTermination()
+    found = table.frame()
+    db.close()
+    return found
+
+
+def changes_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that two statements after the load brought."""
+    db, session = loaded(spark, sf_dir, "nation")
+    at = db.log.last
+    done(session, "UPDATE nation SET n_name = 'N' WHERE n_regionkey = 0;", "DELETE FROM nation WHERE n_nationkey >= 20;")
+    found = changes_since(db.table("nation"), at).select(F.col("__key").alias("key"), F.col("__gone").alias("gone"), "n_name")
+    db.close()
+    return found
+
+
+def retention(policy: Policy, frames: int = 64, hot: int = 20, rounds: int = 3, scanned: int = 300) -> int:
+    """Hot pages still here after a long scan of pages that are touched once."""
+    cache = PageCache(frames, policy)
+    for _ in range(rounds):
+        for p in range(hot):
+            cache.fetch(("hot", p), lambda p=p: p)
+    for p in range(scanned):
+        cache.fetch(("scan", p), lambda p=p: p)
+    return sum(("hot", p) in cache for p in range(hot))
+
+
+def eviction_lru2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("lru2", retention(LRU2()))], "policy string, kept bigint")
+
+
+def eviction_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("clock", retention(ClockSweep()))], "policy string, kept bigint")
+
+
+_OPERATORS = {"eq": "=", "neq": "!=", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
+
+_SNAPSHOT = """
+SELECT user_id, event_id, event_type, value{extra} FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events
+  WHERE event_type <> 'error' AND event_id < {xmax} AND event_id NOT IN (17, 42)) WHERE rn = 1 AND event_type <> 'signup'
+"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {
+        "flagship": flagship,
+        "scan_all": select("nation", sql="SELECT * FROM nation;"),
+        "scan_orders": select("orders", sql="SELECT * FROM orders;"),
+        "project_columns": select("nation", sql="SELECT n_name, n_nationkey FROM nation;"),
+        "pk_lookup": select("orders", sql="SELECT * FROM orders WHERE o_orderkey = 7;"),
+        "pk_lookup_by_text": select("orders", sql="SELECT * FROM orders WHERE o_orderkey = 007;"),
+        "insert_effect": select(
+            "nation",
+            sql="SELECT * FROM nation;",
+            before=("INSERT INTO nation VALUES (50, 'it''s', 1);", "INSERT INTO nation VALUES (51, '', -2);"),
+        ),
+        "update_effect": select("part", sql="SELECT * FROM part;", before=("UPDATE part SET p_name = 'changed', p_size = 1 WHERE p_size >= 25;",)),
+        "delete_effect": select("part", sql="SELECT * FROM part;", before=("DELETE FROM part WHERE p_size < 25;",)),
+    }
+    for name, op in _OPERATORS.items():
+        found[f"where_int_{name}"] = select("part", sql=f"SELECT p_partkey, p_size FROM part WHERE p_size {op} 25;")
+        found[f"where_string_{name}"] = select("customer", sql=f"SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment {op} 'HOUSEHOLD';")
+    for f in (
+        numeric_vs_lexicographic, key_ordered_scan, range_scan_inclusive, index_search, index_range_scan, index_full_scan, point_lookups,
+        version_chain, snapshot_read, snapshot_before_after, old_snapshot, own_changes, reinsert, fold_effect, reopened,
+        rollback_effect, commit_effect, multi_table_commit, dml_affected_counts, server_session, stream_load, changes_feed,
+        eviction_lru2, eviction_clock,
+    ):
+        found[f.__name__] = f
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    orders = typed("orders")
+    nation = typed("nation")
+    found = {
+        "flagship": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 100",
+        "scan_all": nation,
+        "scan_orders": orders,
+        "project_columns": "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation",
+        "pk_lookup": typed("orders", "WHERE CAST(o_orderkey AS VARCHAR) = '7'"),
+        "pk_lookup_by_text": typed("orders", "WHERE CAST(o_orderkey AS VARCHAR) = '007'"),
+        "insert_effect": f"{nation} UNION ALL SELECT 50, 'it''s', 1 UNION ALL SELECT 51, '', -2",
+        "update_effect": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size >= 25 THEN 'changed' ELSE p_name END AS p_name,
+            p_brand, CAST(CASE WHEN p_size >= 25 THEN 1 ELSE p_size END AS BIGINT) AS p_size FROM part""",
+        "delete_effect": typed("part", "WHERE NOT p_size < 25"),
+        "numeric_vs_lexicographic": """SELECT 'int' AS reading, CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey > 900
+            UNION ALL SELECT 'string', CAST(o_orderkey AS VARCHAR) FROM orders WHERE CAST(o_orderkey AS VARCHAR) > '900'""",
+        "key_ordered_scan": """SELECT row_number() OVER (ORDER BY CAST(n_nationkey AS VARCHAR)) AS place,
+            CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation""",
+        "range_scan_inclusive": """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name FROM customer
+            WHERE CAST(c_custkey AS VARCHAR) BETWEEN '10' AND '12'""",
+        "index_search": "SELECT p_partkey, p_name FROM part WHERE p_partkey = 42",
+        "index_range_scan": "SELECT p_size, p_partkey FROM part WHERE p_size BETWEEN 10 AND 20",
+        "index_full_scan": "SELECT p_partkey, p_size FROM part",
+        "point_lookups": """SELECT CAST(k AS VARCHAR) AS key, n_name FROM range(-1, 30) t(k) LEFT JOIN nation ON n_nationkey = k""",
+        "version_chain": """SELECT user_id, event_id, lag(event_id) OVER w AS prev_seq, lead(event_id) OVER w AS next_seq
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+        "snapshot_read": _SNAPSHOT.format(xmax=600, extra=""),
+        "snapshot_before_after": "UNION ALL".join(
+            f"({_SNAPSHOT.format(xmax=x, extra=f', CAST({x} AS INTEGER) AS xmax')})" for x in (300, 900)
+        ),
+        "old_snapshot": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, 'old' AS reader FROM part
+            UNION ALL SELECT p_partkey, CASE WHEN p_size > 25 THEN 'changed' ELSE p_name END, 'new' FROM part WHERE p_size >= 5
+            UNION ALL SELECT 1000000, 'new', 'new'""",
+        "own_changes": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size = 10 THEN 'own' ELSE p_brand END AS p_brand,
+            CAST(CASE WHEN p_size = 10 THEN 99 ELSE p_size END AS BIGINT) AS p_size FROM part WHERE p_size <> 11
+            UNION ALL SELECT 7000000, 'own', 99""",
+        "reinsert": """SELECT CAST(CASE WHEN n_nationkey = 5 THEN 77 ELSE n_nationkey END AS BIGINT) AS n_nationkey,
+            CASE n_nationkey WHEN 3 THEN 'AGAIN' WHEN 4 THEN 'OVER' ELSE n_name END AS n_name,
+            CAST(CASE n_nationkey WHEN 3 THEN 9 WHEN 4 THEN 8 ELSE n_regionkey END AS BIGINT) AS n_regionkey FROM nation""",
+        "fold_effect": typed("part", "WHERE p_size BETWEEN 3 AND 40"),
+        "reopened": """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_regionkey = 1 THEN 'KEPT' ELSE n_name END AS n_name,
+            CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""",
+        "rollback_effect": nation,
+        "commit_effect": f"{nation} WHERE n_regionkey <> 2 UNION ALL SELECT 99, 'X', 0",
+        "multi_table_commit": """SELECT count(*) AS n, 'nation' AS t, 'before' AS moment FROM nation
+            UNION ALL SELECT count(*), 'customer', 'before' FROM customer
+            UNION ALL SELECT count(*), 'nation', 'after' FROM nation WHERE n_regionkey <> 1
+            UNION ALL SELECT count(*), 'customer', 'after' FROM customer WHERE c_nationkey >= 10""",
+        "dml_affected_counts": """SELECT CAST(0 AS BIGINT) AS step, count(*) AS affected FROM part WHERE p_size >= 25
+            UNION ALL SELECT 1, count(*) FROM part WHERE p_size < 10
+            UNION ALL SELECT 2, count(*) FROM part WHERE p_partkey = 0 AND p_size >= 10
+            UNION ALL SELECT 3, 1 UNION ALL SELECT 4, count(*) + 1 FROM part WHERE p_size >= 10 AND p_partkey <> 0""",
+        "server_session": """SELECT CAST(0 AS BIGINT) AS line, 'n_name' AS reply UNION ALL SELECT 1, n_name FROM nation WHERE n_nationkey = 7
+            UNION ALL SELECT 2, 'OK 1 rows' UNION ALL SELECT 3, 'OK 1 rows affected'
+            UNION ALL SELECT 4, 'ERROR: Database::getTable: no such table: none'""",
+        "stream_load": orders,
+        "changes_feed": """SELECT CAST(n_nationkey AS VARCHAR) AS key, false AS gone, 'N' AS n_name FROM nation WHERE n_regionkey = 0
+            UNION ALL SELECT CAST(n_nationkey AS VARCHAR), true, NULL FROM nation WHERE n_nationkey >= 20""",
+    }
+    for name, op in _OPERATORS.items():
+        op = "<>" if op == "!=" else op
+        found[f"where_int_{name}"] = (
+            f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size {op} 25"
+        )
+        found[f"where_string_{name}"] = (
+            f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_mktsegment FROM customer WHERE c_mktsegment {op} 'HOUSEHOLD'"
+        )
+    return found
