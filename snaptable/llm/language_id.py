@@ -9,6 +9,7 @@ text by its forward-backward posterior; a document's language is the one with th
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,21 +25,37 @@ from snaptable.llm.common import ship, text_of
 UNKNOWN = "und"
 BUCKETS = 1 << 16  # hashed weights
 LEXICON = 2000  # most lexicon words of a language
-SAMPLE_TEXTS = 300  # labelled texts of a language in the training sample
+SAMPLE_TEXTS = 200  # labelled texts of a language in the training sample
 SAMPLE_CHARS = 4000  # longest piece of a sampled text used in training
 SEQUENCE = 48  # words of a training sequence
 SPAN = 64  # words of a piece in prediction
 CACHE_WORDS = 300_000
 
 
+class _Hashed(dict):
+    """Hash numbers of strings; remembers some."""
+
+    def __missing__(self, name: str) -> int:
+        number = zlib.crc32(name.encode()) % BUCKETS
+        if len(self) < 300_000:
+            self[name] = number
+        return number
+
+
+_hashed = _Hashed()
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed feature numbers of a word: prefixes and suffixes to 3, n-grams of 1 to 3, its lexicon entry."""
+    """Hashed feature numbers of a word: affixes of 1 to 3 letters, n-grams of 2 and 3, its lexicon entry."""
     w = f"<{word}>"
-    names = [f"^{word[:k]}" for k in (1, 2, 3) if k < len(word)] + [f"${word[-k:]}" for k in (1, 2, 3) if k < len(word)]
-    names += [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-    out = [zlib.crc32(x.encode()) % BUCKETS for x in names]
+    names = [w[:2], w[:4], w[-2:], w[-4:]]  # the affixes of 2 are n-grams already
+    names += map("".join, zip(word, word[1:], strict=False))
+    names += map("".join, zip(w, w[1:], w[2:], strict=False))
+    out = list(map(_hashed.__getitem__, names))
     entry = lexicon.get(word)
-    return out if entry is None else [*out, BUCKETS + entry]
+    if entry is not None:
+        out.append(BUCKETS + entry)
+    return out
 
 
 def clean(token: str) -> str:
@@ -61,6 +78,10 @@ class Model:
     start: np.ndarray
     move: np.ndarray  # from language x to language
 
+    @property
+    def name(self) -> str:
+        return hashlib.sha1(self.weights.tobytes() + self.move.tobytes() + self.start.tobytes()).hexdigest()
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row of evidence for each word; a word's features count by their mean, so long words don't dominate."""
         found = [features(w, self.lexicon) for w in words]
@@ -87,7 +108,7 @@ def _forward_backward(psi: np.ndarray, start: np.ndarray, move: np.ndarray, leng
     return alpha * beta, pairs
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 12, seed: int = 7) -> Model | None:
+def train(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 7) -> Model | None:
     """Fits the field on (text, language) rows; None without a row that has words."""
     rows = [(t, y) for t, y in rows if t and y is not None]
     languages = sorted({y for _, y in rows})
@@ -161,41 +182,53 @@ def train(rows: list[tuple[str, str]], epochs: int = 12, seed: int = 7) -> Model
 
 
 class Tagger:
-    """Applies a model to many texts at once, with a bounded cache of word scores."""
+    """Applies a model to many texts at once, with a bounded cache of tokens and word scores."""
 
     def __init__(self, model: Model):
         self.model = model
         self.start = np.exp(model.start - model.start.max())
         self.move = np.exp(model.move - model.move.max())
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages)), dtype=np.float32)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.rows: dict[str, int] = {}  # token: row of its word; row 0 is for tokens without a letter
+        self.words: dict[str, int] = {"": 0}
+        self.table = np.ones((1, len(self.model.languages)), dtype=np.float32)
 
     def _numbers(self, tokens: list[str]) -> np.ndarray:
-        rows = self.rows
-        if len(rows) > CACHE_WORDS:
-            rows.clear()
-            self.table = self.table[:0]
-        missing = [t for t in set(tokens) if t not in rows]
-        if missing:
-            cleaned = [clean(t) for t in missing]
-            scores = np.zeros((len(missing), self.table.shape[1]), dtype=np.float32)
-            real = [i for i, w in enumerate(cleaned) if w]
-            if real:
-                scores[real] = self.model.word_scores([cleaned[i] for i in real])
-            peak = scores.max(axis=1, keepdims=True)
-            base = len(self.table)
-            self.table = np.concatenate([self.table, np.exp(scores - peak)])
-            rows.update((t, base + i) for i, t in enumerate(missing))
+        """The row of each token's word in ``table``."""
+        if len(self.rows) > CACHE_WORDS:  # only what these tokens need stays
+            used = set(tokens)
+            rows = {t: r for t, r in self.rows.items() if t in used}
+            held = {r: w for w, r in self.words.items()}
+            kept = sorted(set(rows.values()) - {0})
+            place = {0: 0} | {r: i for i, r in enumerate(kept, 1)}
+            self.table = self.table[[0, *kept]]
+            self.words = {held[r]: i for r, i in place.items()}
+            self.rows = {t: place[r] for t, r in rows.items()}
+        rows, words = self.rows, self.words
+        missing = [(t, clean(t)) for t in set(tokens).difference(rows)]
+        new = sorted({w for _, w in missing if w not in words})
+        if new:
+            scores = self.model.word_scores(new)
+            words.update((w, i) for i, w in enumerate(new, len(self.table)))
+            self.table = np.concatenate([self.table, np.exp(scores - scores.max(axis=1, keepdims=True))])
+        rows.update((t, words[w]) for t, w in missing)
         return np.fromiter(map(rows.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """For each text's tokens, a row of language probabilities each.
+        """For each text's tokens that hold a letter, a row of language probabilities each.
 
         Texts are cut into pieces of SPAN tokens; products of transition matrices carry the
         messages over the pieces, so a long text costs no more steps than a short one."""
         k = len(self.start)
-        sizes = np.array([len(t) for t in texts])
         number = self._numbers([x for t in texts for x in t])
+        sizes = np.array([len(t) for t in texts])
+        real = number > 0
+        counts = np.concatenate([[0], np.cumsum(real)])
+        ends = np.cumsum(sizes)
+        sizes = counts[ends] - counts[ends - sizes]
+        number = number[real]
         pieces = -(-sizes // SPAN)
         first = np.concatenate([[0], np.cumsum(pieces)])
         offset = np.concatenate([[0], np.cumsum(sizes)])
@@ -251,9 +284,8 @@ class Tagger:
 
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, mean posterior of it over the tokens that hold a letter) for each text."""
-        tokens = [[x for x in t.split() if x.isalpha() or clean(x)] for t in texts]
         out = []
-        for rows in self.posteriors(tokens):
+        for rows in self.posteriors([t.split() for t in texts]):
             if not len(rows):
                 out.append((UNKNOWN, 0.0))
                 continue
@@ -290,11 +322,13 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 _taggers: dict[str, Tagger] = {}
 
 
-def _tagger(shared) -> Tagger | None:
-    name = str(shared._path if getattr(shared, "_path", None) else id(shared))
+def _tagger(name: str, shared) -> Tagger | None:
+    """The worker's tagger for a model; it keeps its cache from task to task."""
+    if not name:
+        return None
     if name not in _taggers:
         _taggers.clear()
-        _taggers[name] = Tagger(shared.value) if shared.value else None
+        _taggers[name] = Tagger(shared.value)
     return _taggers[name]
 
 
@@ -318,10 +352,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     None (nothing to learn from). Repeated rows stay; an empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), model.name if model else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared)
+        tagger = _tagger(name, shared)
         for batch in batches:
             found = _labels(tagger, batch.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -338,10 +372,10 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     """The rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), model.name if model else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _tagger(shared)
+        tagger = _tagger(name, shared)
         for batch in batches:
             found = _labels(tagger, batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in found], pa.bool_()))
