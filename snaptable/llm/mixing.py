@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from snaptable.llm.common import SPACE, text_of, written
 
 BUCKET_ROWS = 512  # documents whose fractions are carried along together
+BROADCAST_SOURCES = 50_000
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -86,6 +88,17 @@ def multipliers(sized: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, mos
     return state.select("key", "total", "mean", "target", F.round("dual", 9).alias("dual"))
 
 
+def with_source(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
+    """Rows with their source's columns, so that a hot source is not dealt to one task.
+
+    Up to BROADCAST_SOURCES sources are broadcast; more are joined on the source and a salt."""
+    if count <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources), "key", "left")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "print"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["key", "salt"], "left").drop("salt")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -118,7 +131,7 @@ def mix(
     mean = F.col("total") / F.col("full")
     duals = multipliers(histogram.filter("size > 0").join(aimed.withColumn("mean", mean), "key"), cap)
     known = aimed.select("key", "total", "docs", "target").join(duals.select("key", "mean", "dual"), "key", "left")
-    rated = base.join(known, "key", "left")
+    rated = with_source(base, known, aimed.count())
     rate = (
         F.when((F.col("size") == 0), 1.0)
         .when(F.col("target") >= cap * F.col("total"), float(cap))
