@@ -30,7 +30,7 @@ def integer(text: str) -> int:
 def integer_column(text: Column) -> Column:
     """``integer`` for a column; a row without a number fails the query, and only if it is looked at."""
     digits = F.regexp_extract(text, _LEADING, 1)
-    return F.when(digits == "", F.raise_error(F.lit("stoll"))).otherwise(digits.cast("bigint"))
+    return F.coalesce(digits.try_cast("bigint"), F.raise_error(F.lit("stoll")).cast("bigint"))
 
 
 def compare(column: Column, op: str, value: int | str) -> Column:
