@@ -52,15 +52,20 @@ _SEGMENT = log10(2.0)  # what each further segment costs
 _UNIT = 8  # longest unit of a repeat
 
 
-def _neighbours() -> dict[str, frozenset[str]]:
-    at = {c: (r, x) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
-    shift = dict(zip('~!@#$%^&*()_+QWERTYUIOP{}|ASDFGHJKL:"ZXCVBNM<>?', "".join(_ROWS), strict=True))
-    near = {c: {d for d, (s, y) in at.items() if c != d and abs(r - s) <= 1 and -1 <= y - x <= 1} for c, (r, x) in at.items()}
-    near |= {up: set(near[low]) for up, low in shift.items()}
-    return {c: frozenset(n) | {u for u, low in shift.items() if low in n} for c, n in near.items()}
+_SHIFT = dict(zip('~!@#$%^&*()_+QWERTYUIOP{}|ASDFGHJKL:"ZXCVBNM<>?', "".join(_ROWS), strict=True))
+_KEY = {c: (r, x) for r, row in enumerate(_ROWS) for x, c in enumerate(row)}
+_KEY |= {up: _KEY[low] for up, low in _SHIFT.items()}
+
+
+def _step(a: str, b: str) -> tuple[int, ...] | None:
+    """The direction from a key to one next to it, or along the code points; None if there is no such step."""
+    if a in _KEY and b in _KEY:
+        (r, x), (s, y) = _KEY[a], _KEY[b]
+        if (r, x) != (s, y) and abs(r - s) <= 1 and abs(x - y) <= 1:
+            return s - r, y - x
+    return (ord(b) - ord(a),) if abs(ord(b) - ord(a)) == 1 else None
 
 
-_NEAR = _neighbours()
 _YEAR = re.compile(r"(?:19|20)\d\d")
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)[01]\d\1[0-3]\d|[0-3]\d([-/._]?)[0-3]\d\2(?:19|20)\d\d)")
 
@@ -85,7 +90,7 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str
     costs = [_char_cost(c) for c in value]
     lengths = sorted({len(w) for w in words})
     ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]  # by end: start, cost, kind
-    walk = 0
+    walk, steps = 0, [None, *map(_step, lower, lower[1:])]
     for i in range(n):
         for length in lengths:
             if i + length > n:
@@ -102,15 +107,13 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[str
                 ending[m.end()].append((i, log10(130), "date"))
             if m := _DATE.match(value, i):
                 ending[m.end()].append((i, log10(365 * 130), "date"))
-        if i and (lower[i] in _NEAR.get(lower[i - 1], ()) or abs(ord(lower[i]) - ord(lower[i - 1])) == 1):
-            if i - walk >= 2:  # at least three keys; every suffix of the walk may be the segment
-                for start in range(max(walk, i - 40), i - 1):
-                    turns = sum(
-                        ord(value[k + 2]) - ord(value[k + 1]) != ord(value[k + 1]) - ord(value[k]) for k in range(start, i - 1)
-                    )
-                    ending[i + 1].append((start, log10(94) + turns * log10(4.6) + log10(i + 1 - start), "walk"))
-        else:
+        if steps[i] is None:
             walk = i
+        elif i - walk >= 2:  # at least three keys; every end of the walk may be the segment
+            turns = 0
+            for start in range(i - 2, max(walk, i - 40) - 1, -1):
+                turns += steps[start + 1] != steps[start + 2]
+                ending[i + 1].append((start, log10(94) + turns * log10(4.6) + log10(i + 1 - start), "walk"))
     for unit in range(1, min(_UNIT, n // 2) + 1):
         start = 0
         for i in range(unit, n + 1):
