@@ -24,6 +24,7 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 4000, 8000  # most labelled texts that the model is
 LEXICON = 1000  # most candidate terms
 WINDOW = 6  # tokens of context on either side
 SEEN_WORDS = 500_000
+MISSPELLED = 0.25  # what a made-up misspelled text counts in the regression
 _STATES = 50_000
 
 #: Characters that stand for letters in disguised spellings.
@@ -210,14 +211,21 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.measure(found), self.weights), -30, 30)))), len(found)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
+def misspelled(rows: list[list[float]]) -> list[list[float]]:
+    """The features that texts would have if their exact matches were one edit away."""
+    exact = [float(np.expm1(r[1])) / 2 for r in rows if r[1] > 0]
+    return [[0.0, 0.0, min(e, 1.0), float(np.log1p(e)), 1.0] for e in exact]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
     """Weights of a penalised logistic regression, by Newton steps; the last column is the constant."""
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     keep[-1] = 1e-3
+    c = np.ones(len(y)) if counts is None else counts
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + keep * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), grad)
+        grad = x.T @ (c * (p - y)) + keep * w
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + np.diag(keep), grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -322,7 +330,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     rest = sample.filter((F.col("toxic") == 1) | (half == 1)).select("text", F.col("toxic").cast("int").alias("y"))
     rows = rest.mapInArrow(measure, "x array<double>, y int").collect()
-    return terms, usual, logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float))
+    # Labelled texts seldom show each misspelling: the toxic ones count once more, a little, as if misspelled.
+    also = misspelled([r["x"] for r in rows if r["y"]])
+    x = np.array([r["x"] for r in rows] + also)
+    y = np.array([float(r["y"]) for r in rows] + [1.0] * len(also))
+    return terms, usual, logistic(x, y, np.array([1.0] * len(rows) + [MISSPELLED] * len(also)))
 
 
 _scorers: dict[str, Scorer] = {}
