@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: ASCII white space as the query contracts define it: x20 and x09 to x0D.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -47,11 +54,34 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Rows in an Arrow batch: whole texts make batches large, and each is held several times on its way.
+BATCH_ROWS = 1000
+
+_kept: dict[str, object] = {}
+
+
+def worker_keeps(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, made on first use: one thing at a time.
+
+    Workers go on from one operator to the next; what the last one kept is let go first."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every system has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[name] = make()
+    return _kept[name]
+
+
 _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once per application."""
+    """Gives this package to the executors' Python workers, once per application, and bounds Arrow batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of
+from snaptable.llm.common import ship, text_of, worker_keeps
 
 ERROR_RATE = 0.08  # errors allowed for each character of an item
 BLOCK_CHARS = 2_000_000  # of test items in one pass
@@ -140,14 +140,8 @@ class Finder:
         return errors, end - size, end
 
 
-_finders: dict[str, Finder] = {}
-
-
 def _finder(name: str, items: list[tuple[int, str]], rate: float) -> Finder:
-    if name not in _finders:
-        _finders.clear()
-        _finders[name] = Finder(items, rate)
-    return _finders[name]
+    return worker_keeps(f"finder {name}", lambda: Finder(items, rate))
 
 
 def item_blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of
+from snaptable.llm.common import ship, text_of, worker_keeps
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16  # hashed weights
@@ -319,17 +319,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return train(sample(docs, text_col, lang_col, id_col, learn))
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def _tagger(name: str, shared) -> Tagger | None:
     """The worker's tagger for a model; it keeps its cache from task to task."""
-    if not name:
-        return None
-    if name not in _taggers:
-        _taggers.clear()
-        _taggers[name] = Tagger(shared.value)
-    return _taggers[name]
+    return worker_keeps(f"tagger {name}", lambda: Tagger(shared.value)) if name else None
 
 
 def _labels(tagger: Tagger | None, texts: pa.Array) -> list[tuple[str, float]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, written
+from snaptable.llm.common import ship, text_of, worker_keeps, written
 
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text holds: before a text, and its end
 SHARE = 1 << 16  # a three-byte context is kept from this part of all counts on
@@ -219,6 +219,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     below = float(n_all + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("language model", dict)
         counts, model = shared.value
         model.ready()
         log = {w: float(np.log10((n + 1) / below)) for w, n in counts.items()}

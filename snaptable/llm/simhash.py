@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, written
+from snaptable.llm.common import ship, text_of, worker_keeps, written
 
 BITS = 64
 
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("fingerprints", dict)
         last, value = None, 0
         for batch in batches:
             out = np.empty(batch.num_rows, dtype=np.uint64)
@@ -202,23 +203,23 @@ def links(distinct: DataFrame, budget: int = 4, bucket_rows: int = 4096) -> Data
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """Whole groups, about 200,000 rows at a time."""
-        held: list[list[np.ndarray]] = []
+        waiting: list[list[np.ndarray]] = []
         rows = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
+            waiting.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
             rows += batch.num_rows
             if rows < 200_000:
                 continue
-            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            whole = [np.concatenate(c) for c in zip(*waiting, strict=True)]
             new = np.zeros(rows, dtype=bool)
             for c in (1, 2, 3, 4):
                 new[1:] |= whole[c][1:] != whole[c][:-1]
             last = int(np.flatnonzero(new)[-1]) if new.any() else 0
             if last:
                 yield [c[:last] for c in whole]
-            held, rows = [[c[last:] for c in whole]], rows - last
+            waiting, rows = [[c[last:] for c in whole]], rows - last
         if rows:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, block, value, left, right, side in pieces(batches):

@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import shared_path, ship, text_of
+from snaptable.llm.common import shared_path, ship, text_of, worker_keeps
 
 MAGIC = b"SNAPSST1"
 FOOTER = struct.Struct("<QQQQQQQ8s")  # index at, index bytes, filter at, filter bytes, entries, ids, width, magic
 BLOCK_BYTES = 1 << 16
 PROBES, BITS_PER_KEY = 7, 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def key_of(value: int | str | None) -> bytes:
@@ -268,13 +268,8 @@ class WordEncoder:
         return found
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_keeps(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def _open_fs(uri: str):

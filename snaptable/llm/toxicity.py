@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, written
+from snaptable.llm.common import ship, text_of, worker_keeps, written
 
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4000, 8000  # most labelled texts that the model is fitted on
 LEXICON = 1000  # most candidate terms
@@ -337,9 +337,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     return terms, usual, logistic(x, y, np.array([1.0] * len(rows) + [MISSPELLED] * len(also)))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: identifier, ``score`` (0 to 1), ``predicted``, ``n_matches``.
 
@@ -350,10 +347,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     name = f"{hash((tuple(terms), tuple(sorted(usual)), None if weights is None else tuple(weights)))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(terms, usual, weights)
-        scorer = _scorers[name]
+        scorer = worker_keeps(f"scorer {name}", lambda: Scorer(terms, usual, weights))
         for batch in batches:
             both = [scorer.score(t.as_py()) for t in batch.column(1)]
             scores, found = [s for s, _ in both], [n for _, n in both]
