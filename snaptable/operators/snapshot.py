@@ -49,8 +49,8 @@ class View:
 
     @property
     def after(self) -> list[Part]:
-        last = max((i for i, p in enumerate(self.parts) if p.base), default=-1)
-        return self.parts[last + 1 :]
+        last = max((i for i, p in enumerate(self.parts) if p.base), default=0)
+        return [p for p in self.parts[last:] if p.rows or p.files]  # a part's changes come after its base
 
     def logged(self) -> dict[str, Row]:
         """The newest change of each key among the rows that the log holds."""
@@ -121,8 +121,9 @@ def visible(spark: SparkSession, view: View, key: str | None = None) -> DataFram
     changed = latest = None
     n_changed = len(logged) + sum(f["rows"] for f in files)
     if files:
-        stored = [spark.read.schema(change_schema(schema)).parquet(f["path"]) for f in files]
-        changes = reduce(DataFrame.unionAll, [*stored, *([rows_frame(spark, schema, list(logged.values()))] if logged else [])])
+        changes = spark.read.schema(change_schema(schema)).parquet(*[f["path"] for f in files])
+        if logged:
+            changes = changes.unionAll(rows_frame(spark, schema, list(logged.values())))
         newest = changes.groupBy("__key").agg(F.max_by(F.struct("__gone", *columns), "__seq").alias("r"))
         changed, latest = newest.select("__key"), newest.filter(~F.col("r.__gone")).select("__key", *[f"r.{c}" for c in columns])
     elif logged:

@@ -32,6 +32,20 @@ class Table:
     def __init__(self, db: Database, name: str, number: int, schema: Schema):
         self.db, self.name, self.number, self.schema = db, name, number, schema
 
+    def begin(self) -> Transaction:
+        return self.db.begin()
+
+    def commit(self, txn: Transaction) -> None:
+        self.db.commit(txn)
+
+    def abort(self, txn: Transaction) -> None:
+        self.db.abort(txn)
+
+    def dump(self) -> list[str]:
+        """The newest stored version of each key, deleted or not, a line each; for looking at small tables."""
+        newest = self.versions().groupBy("__key").agg(F.max_by(F.struct("__gone", "__seq", *self.schema.names), "__seq").alias("r")).orderBy("__key")
+        return [f"{r[0]} @{r.r['__seq']}{' deleted' if r.r['__gone'] else ''}: {'|'.join(str(r.r[c]) for c in self.schema.names)}" for r in newest.collect()]
+
     # Reading ---------------------------------------------------------------------------------
 
     def view(self, txn: Transaction | None = None, latest: bool = False) -> View:
@@ -58,16 +72,16 @@ class Table:
         before = F.lag("__seq").over(Window.partitionBy("__key").orderBy("__seq"))
         return found.select("__key", "__seq", before.alias("__prev_seq"), "__gone", "__commit", *names)
 
-    def _at_hand(self, upto: int, own: bool) -> bool:
+    def _at_hand(self, upto: int, txn: Transaction | None) -> bool:
         """Whether keys can be looked up without a Spark job."""
+        own = txn.writes.get(self.number) if txn else None
         chains = self.db.txns.chains[self.number]
-        return not own and not chains.files and upto >= chains.since
+        return not (own and (own.files or own.base)) and not chains.files and upto >= chains.since
 
     def _key_row(self, key: str, txn: Transaction | None, latest: bool = False) -> list[str] | None:
         upto = self.db.log.last if txn is None or latest else txn.snapshot
         own = txn.own[self.number].get(key) if txn else None
-        own_files = bool(txn and txn.writes[self.number].files) if txn and self.number in txn.writes else False
-        if not self._at_hand(upto, own_files):
+        if not self._at_hand(upto, txn):
             view = self.view(txn, latest)
             row = snapshot.visible(self.db.spark, view, key).head()
             return [row[f"f{i}"] for i in range(len(self.schema.columns))] if row else None
@@ -86,9 +100,8 @@ class Table:
     def _small(self, txn: Transaction | None) -> list[tuple[str, list[str]]] | None:
         """All visible rows in byte order of their keys, if only the log holds any; else None."""
         upto = self.db.log.last if txn is None else txn.snapshot
-        own = bool(txn and self.number in txn.writes and txn.writes[self.number].files)
         chains = self.db.txns.chains[self.number]
-        if chains.base or not self._at_hand(upto, own):
+        if chains.base or not self._at_hand(upto, txn):
             return None
         rows = {}
         for key in list(chains.keys):
@@ -213,7 +226,7 @@ class Table:
         if self._is_key(condition) or self._small(txn) is not None:
             return [k for k, _ in self.select(condition, txn)]
         # Where a key's newest row can't be looked up at hand, a job for each row would be slower than one file.
-        most = ROW_BY_ROW if self._at_hand(self.db.log.last, bool(txn.writes[self.number].files)) else 0
+        most = ROW_BY_ROW if self._at_hand(self.db.log.last, txn) else 0
         rows = self.matching(condition, txn).select("__key").limit(most + 1).collect()
         return sorted((r[0] for r in rows), key=str.encode) if len(rows) <= most else None
 
