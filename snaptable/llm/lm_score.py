@@ -1,9 +1,10 @@
 """Language-model scores: prediction by partial matching over bytes, beside a word unigram base.
 
-The model is a byte-context trie of order 3. Counts come from all training texts: each task counts
-its four-byte strings, Spark adds them up. Contexts of up to two bytes are all kept (at most 65,793);
-a three-byte context is kept if it holds at least 1/65,536 of all counts, so at most 65,536 are, at
-any corpus size: the broadcast table has a proven bound. A symbol's probability is its share in
+The model is a byte-context trie of order 5. Counts come from all training texts: each task counts
+strings of four bytes, and then, for the contexts kept so far, the symbols after one byte more;
+Spark adds them up. Contexts of up to two bytes are all kept (at most 65,793); a longer context is
+kept if it holds at least 1/65,536 of all counts, so at most 65,536 of each length are, at
+any corpus size: the broadcast tables have a proven bound. A symbol's probability is its share in
 the longest kept context; an unseen symbol escapes (method C: as often as the context has distinct
 symbols) to the next shorter one, where symbols already seen above are excluded; below order 0 all
 symbols are alike. For a fixed model these are numbers per context and symbol, so they are
@@ -23,23 +24,63 @@ from pyspark.sql import functions as F
 from snaptable.llm.common import ship, text_of, worker_keeps, written
 
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text holds: before a text, and its end
-SHARE = 1 << 16  # a three-byte context is kept from this part of all counts on
+ORDER = 5
+SHARE = 1 << 16  # a context of three bytes or more is kept from this part of all counts on
 HOT_WORDS = 1 << 18  # most words in the broadcast dictionary; rarer words are joined
 _PIECE = 1 << 22
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Four-byte strings of a text, as numbers: each byte and the end with the three before it."""
-    raw = np.frombuffer(bytes([START] * 3) + text + bytes([END]), dtype=np.uint8).astype(np.uint32)
-    return raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+def padded(text: bytes) -> np.ndarray:
+    return np.frombuffer(bytes([START] * ORDER) + text + bytes([END]), dtype=np.uint8)
+
+
+def grams(raw: np.ndarray) -> np.ndarray:
+    """Four-byte strings as numbers: each symbol of a padded text with the three before it."""
+    wide = raw.astype(np.uint32)
+    a, n = ORDER, len(raw)
+    return wide[a - 3 : n - 3] << 24 | wide[a - 2 : n - 2] << 16 | wide[a - 1 : n - 1] << 8 | wide[a:]
+
+
+class Trie:
+    """The kept contexts of three bytes and more; the contexts of a length are numbered from 1.
+
+    ``codes3`` are those of three bytes, ascending; ``deeper`` has for each further length the number of
+    each context without its first byte, and that byte."""
+
+    def __init__(self, codes3: np.ndarray, deeper: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        self.codes3, self.deeper = codes3.astype(np.int64), deeper or []
+
+    def ready(self) -> Trie:
+        """Dense lookups, made once in each worker: from three bytes, and from a number and the byte before."""
+        if not hasattr(self, "first"):
+            self.first = np.zeros(1 << 24, dtype=np.int32)
+            self.first[self.codes3] = np.arange(1, len(self.codes3) + 1)
+            self.steps, above = [], len(self.codes3)
+            for suffix, byte in self.deeper:
+                step = np.zeros((above + 1, 256), dtype=np.int32)
+                step[suffix, byte] = np.arange(1, len(suffix) + 1)
+                self.steps.append(step)
+                above = len(suffix)
+        return self
+
+    def __getstate__(self) -> dict:
+        return {"codes3": self.codes3, "deeper": self.deeper}
+
+    def walk(self, raw: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
+        """For each length the number of the context before each symbol; 0 where it is not kept."""
+        found = [self.first[code >> 8]]
+        for k, step in enumerate(self.steps, 4):
+            found.append(step[found[-1], raw[ORDER - k : len(raw) - k]])
+        return found
 
 
 class PPM:
     """The fixed model: a row of log10 probabilities for each kept context."""
 
-    def __init__(self, trigrams: tuple[np.ndarray, np.ndarray], fourgrams: tuple[np.ndarray, np.ndarray]):
-        """(codes, counts) of two bytes and a symbol, and of three bytes and a symbol for kept contexts."""
+    def __init__(self, trigrams: tuple[np.ndarray, np.ndarray], trie: Trie, levels: list[tuple[np.ndarray, np.ndarray]]):
+        """(codes, counts) of two bytes and a symbol; and for each length of the trie those of number - 1 and a symbol."""
         code, n = trigrams
+        self.trie = trie
         symbol = np.full(256, True)
         symbol[START] = False
         root = np.zeros(256)
@@ -47,29 +88,28 @@ class PPM:
         base = self._rows(root[None, :], np.where(symbol, 1.0, 0.0)[None, :])  # order -1: all symbols alike
         one = np.zeros((256, 256))
         np.add.at(one, ((code >> 8) & 255, code & 255), n)
-        first = self._rows(one, np.repeat(base, 256, axis=0))
-        codes2, at2 = np.unique(code >> 8, return_inverse=True)
+        parts = [self._rows(one, np.repeat(base, 256, axis=0)).astype(np.float32)]
+        codes2, at = np.unique(code >> 8, return_inverse=True)
         self.codes2 = codes2.astype(np.int64)
-        second = self._level(code, n, at2, first, (self.codes2 & 255).astype(np.int64))
-        code4, n4 = fourgrams
-        codes3, at3 = np.unique(code4 >> 8, return_inverse=True)
-        self.codes3 = codes3.astype(np.int64)
-        lower = np.searchsorted(self.codes2, self.codes3 & 0xFFFF) if len(codes2) else np.zeros(0, dtype=np.int64)
-        third = self._level(code4, n4, at3, second, lower)
-        self.table = np.log10(np.maximum(np.concatenate([first, second, third]), 1e-30)).astype(np.float32)
+        parts.append(self._level(at * 256 + (code & 255), n, parts[0], self.codes2 & 255))
+        shorter = [np.searchsorted(self.codes2, trie.codes3 & 0xFFFF), *[suffix - 1 for suffix, _ in trie.deeper]]
+        for (code, n), below in zip(levels, shorter, strict=True):
+            parts.append(self._level(code, n, parts[-1], below))
+        self.starts = np.cumsum([0, *[len(p) for p in parts]])[1:-1]  # rows 0 to 255 are the contexts of one byte
+        self.table = np.log10(np.maximum(np.concatenate(parts), 1e-30))
 
     @classmethod
-    def _level(cls, code, n, at, below, lower) -> np.ndarray:
-        rows = len(lower)
-        out = np.empty((rows, 256), dtype=np.float32)
-        order = np.argsort(at, kind="stable")
-        at, code, n = at[order], code[order], n[order]
-        for low in range(0, rows, 4096):  # contexts in blocks, so the work space stays small
-            high = min(rows, low + 4096)
-            a, b = np.searchsorted(at, [low, high])
-            counts = np.zeros((high - low, 256))
-            counts[at[a:b] - low, code[a:b] & 255] = n[a:b]
-            out[low:high] = cls._rows(counts, below[lower[low:high]].astype(np.float64))
+    def _level(cls, code: np.ndarray, n: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Rows of one length from (number and symbol, count); ``below`` names each one's row among the shorter."""
+        out = np.empty((len(below), 256), dtype=np.float32)
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        for low in range(0, len(below), 4096):  # in blocks, so the work space stays small
+            high = min(len(below), low + 4096)
+            a, b = np.searchsorted(code, [low * 256, high * 256])
+            counts = np.zeros((high - low) * 256)
+            counts[code[a:b] - low * 256] = n[a:b]
+            out[low:high] = cls._rows(counts.reshape(-1, 256), above[below[low:high]].astype(np.float64))
         return out
 
     @staticmethod
@@ -85,33 +125,26 @@ class PPM:
         return own + escape * rest / np.where(left > 0, left, 1.0)
 
     def ready(self) -> PPM:
-        """Dense lookups from context codes to rows, made once in each worker."""
+        self.trie.ready()
         if not hasattr(self, "row2"):
-            self.row2 = np.full(1 << 16, -1, dtype=np.int32)
-            self.row2[self.codes2] = 256 + np.arange(len(self.codes2), dtype=np.int32)
-            unseen = self.row2 < 0
-            self.row2[unseen] = (np.arange(1 << 16) & 255)[unseen]
-            self.row3 = np.zeros(1 << 24, dtype=np.int32)
-            self.row3[self.codes3] = 256 + len(self.codes2) + np.arange(len(self.codes3), dtype=np.int32)
+            self.row2 = np.arange(1 << 16, dtype=np.int32) & 255
+            self.row2[self.codes2] = self.starts[0] + np.arange(len(self.codes2), dtype=np.int32)
         return self
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("codes2", "codes3", "table")}
+        return {k: getattr(self, k) for k in ("trie", "codes2", "starts", "table")}
 
     def score(self, text: bytes) -> float:
         """log10 of the text's probability, its end included; long texts go piece by piece."""
-        total, at = 0.0, 0
-        while True:
-            piece = text[max(0, at - 3) : at + _PIECE]
-            code = grams(piece)[min(3, at) :]
-            last = at + _PIECE >= len(text)
-            code = code if last else code[:-1]
-            row = self.row3[code >> 8]
-            row = np.where(row > 0, row, self.row2[(code >> 8) & 0xFFFF])
+        raw, total = padded(text), 0.0
+        for at in range(0, len(raw) - ORDER, _PIECE):
+            part = raw[at : at + ORDER + _PIECE]
+            code = grams(part)
+            row = self.row2[(code >> 8) & 0xFFFF]
+            for start, number in zip(self.starts[1:], self.trie.walk(part, code), strict=True):
+                row = np.where(number > 0, start - 1 + number, row)
             total += float(self.table[row, code & 255].sum(dtype=np.float64))
-            if last:
-                return total
-            at += _PIECE
+        return total
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -133,7 +166,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                code = grams(text.as_py().encode())
+                code = grams(padded(text.as_py().encode()))
                 held.append(code)
                 size += len(code)
                 if size > 3_000_000:
@@ -149,21 +182,53 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def count_symbols(texts: DataFrame, trie: Trie) -> DataFrame:
+    """(code, n): what follows the trie's longest contexts, code being 256 * (number - 1) + symbol."""
+    shared, size = texts.sparkSession.sparkContext.broadcast(trie), 256 * len(trie.deeper[-1][0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("contexts", dict)
+        found = shared.value.ready()
+        counts = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                raw = padded(text.as_py().encode())
+                code = grams(raw)
+                number = found.walk(raw, code)[-1]
+                inside = number > 0
+                np.add.at(counts, (number[inside].astype(np.int64) - 1) * 256 + (code[inside] & 255), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["code", "n"])
+
+    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _arrays(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    found = frame.orderBy("code").toArrow()
+    return found.column("code").to_numpy(), found.column("n").to_numpy().astype(np.float64)
+
+
 def train_ppm(texts: DataFrame) -> PPM:
     """Counts over all rows of ``text``; what comes to the driver is bounded by the kept contexts."""
     spark = texts.sparkSession
     four = written(spark, count_grams(texts), "grams")
     total = four.agg(F.sum("n")).head()[0] or 0
-    three = four.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n"))
+    three = _arrays(four.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")))
     context = F.shiftright("code", 8)
     kept = four.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).filter(F.col("all") * SHARE >= total)
-    rows = four.withColumn("context", context).join(kept, "context").select("code", "n")
-
-    def arrays(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = frame.orderBy("code").toArrow()
-        return found.column("code").to_numpy(), found.column("n").to_numpy().astype(np.float64)
-
-    return PPM(arrays(three), arrays(rows))
+    code, n = _arrays(four.withColumn("context", context).join(kept, "context").select("code", "n"))
+    codes3, at = np.unique(code >> 8, return_inverse=True)
+    trie, levels = Trie(codes3), [(at * 256 + (code & 255), n)]
+    names = codes3  # the contexts of the longest length so far, as numbers, ascending
+    for length in range(4, ORDER + 1):
+        code, n = levels[-1]
+        keep = (n * SHARE >= total) & ((code & 255) != END)
+        longer = np.sort(names[code[keep] >> 8] << 8 | (code[keep] & 255))
+        suffix = np.searchsorted(names, longer & ((1 << 8 * (length - 1)) - 1)) + 1
+        trie = Trie(codes3, [*trie.deeper, (suffix, (longer >> 8 * (length - 1)).astype(np.uint8))])
+        levels.append(_arrays(count_symbols(texts, trie)))
+        names = longer
+    return PPM(three, trie, levels)
 
 
 def count_words(texts: DataFrame) -> DataFrame:

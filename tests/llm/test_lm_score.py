@@ -11,15 +11,16 @@ from snaptable.llm.common import remainder
 
 
 class Plain:
-    """The same model by dictionaries: all contexts of two bytes, and those of three that hold enough."""
+    """The same model by dictionaries: all contexts of two bytes, and those of three to five that hold enough."""
 
     def __init__(self, texts):
         self.counts = {}
         for t in texts:
-            raw = bytes([lm.START] * 3) + t.encode() + bytes([lm.END])
-            for i in range(3, len(raw)):
-                for k in range(4):
-                    self.counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+            raw = bytes([lm.START] * 5) + t.encode() + bytes([lm.END])
+            for i in range(5, len(raw)):
+                for k in range(6):
+                    if not raw[i - k : i].startswith(bytes([lm.START] * 4)):  # three before a text are enough
+                        self.counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
         total = sum(self.counts.get(b"", Counter()).values())
         self.counts = {c: n for c, n in self.counts.items() if len(c) < 3 or sum(n.values()) * lm.SHARE >= total}
 
@@ -42,8 +43,8 @@ class Plain:
         return row
 
     def score(self, text):
-        raw = bytes([lm.START] * 3) + text.encode() + bytes([lm.END])
-        return sum(math.log10(self.row(raw[i - 3 : i])[raw[i]]) for i in range(3, len(raw)))
+        raw = bytes([lm.START] * 5) + text.encode() + bytes([lm.END])
+        return sum(math.log10(self.row(raw[i - 5 : i])[raw[i]]) for i in range(5, len(raw)))
 
 
 def test_scores_as_by_dictionaries(spark, corpus, monkeypatch):
@@ -64,15 +65,13 @@ def test_scores_as_by_dictionaries(spark, corpus, monkeypatch):
         assert out[i].score == pytest.approx(plain.score(texts[i]), rel=1e-5)
 
 
-def test_rows_are_distributions():
-    grams = [lm.grams(t.encode()) for t in ("abcabd", "abx", "é", "")]
-    code, n = np.unique(np.concatenate(grams), return_counts=True)
-    three, at = np.unique(code & 0xFFFFFF, return_inverse=True)
-    model = lm.PPM((three.astype(np.int64), np.bincount(at, weights=n)), (code.astype(np.int64), n.astype(float))).ready()
-    assert np.allclose((10.0**model.table).sum(axis=1), 1, atol=1e-5)
-    assert model.score(b"abd") > model.score(b"dba") > -300
-    long = b"ab" * 3_000_000
-    assert model.score(long) == pytest.approx(model.score(long[:1000]) * len(long) / 1000, rel=0.01)
+def test_rows_are_distributions(corpus):
+    model = lm.train_ppm(corpus.select("text")).ready()
+    assert len(model.trie.deeper) == 2 and all(len(suffix) for suffix, _ in model.trie.deeper)
+    assert np.allclose((10.0**model.table).sum(axis=1), 1, atol=1e-4)
+    assert model.score(b"the tor") > model.score(b"eht rot") > -300
+    long = b"the torash " * 600_000
+    assert model.score(long) == pytest.approx(model.score(long[:11_000]) * len(long) / 11_000, rel=0.01)
 
 
 def test_held_out_text_of_the_same_kind_is_likelier(corpus):
