@@ -175,12 +175,12 @@ def find_leaks(
     nothing; repeated rows and items each give rows; without documents or items there are no rows."""
     spark = docs.sparkSession
     ship(spark)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
+    item_kind = "string" if bench.schema[item_col].dataType.typeName() == "string" else "bigint"
+    bench = bench.withColumn(item_col, F.col(item_col).cast(item_kind))
     schema = f"id {kind}, item {item_kind}, errors bigint, start bigint, `end` bigint"
     frame = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     item_type = pa.string() if item_kind == "string" else pa.int64()
-    if item_kind not in ("string", "bigint"):
-        raise TypeError("items are known by bigint or string identifiers")
     found = None
     for block in item_blocks(bench, item_col, item_text_col):
         name = hashlib.sha1(repr((block, rate)).encode()).hexdigest()

@@ -318,22 +318,23 @@ def write_shards(
                         store, path = _open_fs(target)
                         store.create_dir(os.path.dirname(path), recursive=True)
                         out = store.open_output_stream(path)
-                        writer = ShardWriter(out, code.width)
+                        writer, first = ShardWriter(out, code.width), key_of(key)
                     writer.add(key_of(key), ids + end)
         if writer:
             writer.close()
             out.close()
             row = {"shard": task.partitionId(), "path": target, "entries": writer.entries, "ids": writer.ids}
+            row |= {"low": first.hex(), "high": writer.index[-1][0].hex()}
             yield pa.RecordBatch.from_pylist([row])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     if rows.schema["id"].dataType.typeName() != "string":
         rows = rows.withColumn("id", F.col("id").cast("bigint"))
     ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    made = ranged.mapInArrow(write, "shard bigint, path string, entries bigint, ids bigint").collect()  # a row for each shard
+    made = ranged.mapInArrow(write, "shard bigint, path string, entries bigint, ids bigint, low string, high string").collect()
     manifest = sorted((r.asDict() for r in made), key=lambda r: r["shard"])
     start = 0
-    for r in manifest:
+    for r in manifest:  # a row for each shard
         r["start"] = start
         start += r["ids"]
     return manifest
@@ -369,6 +370,18 @@ def read_shards(spark: SparkSession, manifest: list[dict], id_col: str = "doc_id
     return files.repartition(len(manifest)).mapInArrow(read, out).withColumnRenamed("id", id_col)
 
 
+def lookup(manifest: list[dict], key: int | str | None) -> list[np.ndarray]:
+    """The ids of every document under an identifier: range, filter and index first, then one block."""
+    coded, out = key_of(key), []
+    at = bisect_left(manifest, coded, key=lambda r: bytes.fromhex(r["high"]))
+    while at < len(manifest) and bytes.fromhex(manifest[at]["low"]) <= coded:
+        store, path = _open_fs(manifest[at]["path"])
+        with store.open_input_file(path) as file:
+            out += ShardReader(file).get(coded)
+        at += 1
+    return out
+
+
 def _runs(rows: Iterable, most: int) -> Iterator[list]:
     held, size = [], 0
     for r in rows:

@@ -95,6 +95,14 @@ def test_documents_in_ascending_order(corpus, tokenizer):
         start += len(ids)
 
 
+def test_single_documents_by_identifier(spark, corpus, tokenizer):
+    manifest = ts.write_shards(corpus.repartition(7), tokenizer_path(), shared_path(spark, "shards"))
+    for r in corpus.filter("doc_id % 37 = 0").collect():
+        (ids,) = ts.lookup(manifest, r.doc_id)
+        assert ids.tolist() == [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1]
+    assert ts.lookup(manifest, -5) == ts.lookup(manifest, 10**9) == ts.lookup(manifest, None) == ts.lookup([], 1) == []
+
+
 def test_a_repeated_write_leaves_only_unnamed_files(spark, corpus):
     folder = shared_path(spark, "shards")
     first = ts.write_shards(corpus, tokenizer_path(), folder)
