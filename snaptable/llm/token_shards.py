@@ -35,7 +35,7 @@ MAGIC = b"SNAPSST1"
 FOOTER = struct.Struct("<QQQQQQQ8s")  # index at, index bytes, filter at, filter bytes, entries, ids, width, magic
 BLOCK_BYTES = 1 << 16
 PROBES, BITS_PER_KEY = 7, 10
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def key_of(value: int | str | None) -> bytes:
@@ -193,7 +193,8 @@ class ShardReader:
 
 
 #: Words whose ids are surely those of the letters and then those of the marks: one pre-token each.
-_PLAIN = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)\Z")
+_PLAIN = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+\Z")
+_MARKS = b".,;:!?"
 _RUN = 256  # plain words encoded in one call
 
 
@@ -233,31 +234,32 @@ class WordEncoder:
         return out
 
     def _learn(self, missing: list[bytes]) -> None:
-        cache, cores, marks, composed, others = self.cache, set(), set(), [], []
+        cache, cores, composed, others = self.cache, set(), [], []
         for w in missing:
-            text = w.decode()
-            if m := _PLAIN.match(text):
-                core, mark = m.groups()
+            core = w.rstrip(_MARKS)
+            if core.isalpha() or (not core.isascii() and _PLAIN.match(core.decode())):  # bytes: only ASCII is alpha
                 cores.add(core)
-                if mark:
-                    marks.add(mark)
-                composed.append((w, core, mark))
+                if len(core) < len(w):
+                    composed.append((w, core))
             else:
                 others.append(w)
-        known = self._plain(list(cores)) | dict(zip(marks, self._each(list(marks)), strict=True)) | {"": b""}
-        for w, core, mark in composed:
-            cache[w] = known[core] + known[mark]
+        known = self._plain(list(cores))
+        marks = list({w[len(core) :] for w, core in composed})
+        tails = dict(zip(marks, self._each(marks), strict=True))
+        cache.update((c, known[c]) for c in cores.intersection(missing))
+        cache.update((w, known[core] + tails[w[len(core) :]]) for w, core in composed)
         for at in range(0, len(others), 10_000):
             part = others[at : at + 10_000]
-            cache.update(zip(part, self._each([w.decode() for w in part]), strict=True))
+            cache.update(zip(part, self._each(part), strict=True))
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in coded]
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
+    def _plain(self, words: list[bytes]) -> dict[bytes, bytes]:
         found, size = {}, self.width
         runs = [words[at : at + _RUN] for at in range(0, len(words), _RUN)]
-        for part, coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        for part, coded in zip(runs, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype=self.kind)
             ends = (np.flatnonzero(self.last[ids]) + 1) * size
             if len(ends) != len(part):  # a tokenizer without word ends
