@@ -6,12 +6,15 @@ client goes, its open transaction is dropped and its locks with it."""
 from __future__ import annotations
 
 import socket
+import tempfile
 import threading
 
 from snaptable.database import Database
 from snaptable.executor import Session
 from snaptable.sql.lexer import split_statements
 
+REPLY_BYTES = 16 << 20  # of a reply held in memory
+
 
 class SqlServer:
     """Bound on construction; port 0 takes any free one, named by ``port``."""
@@ -65,7 +68,11 @@ class SqlServer:
                     statements, rest = split_statements(text)
                     held = rest.encode()
                     for s in statements:
-                        client.sendall(session.execute(s).formatted().encode())
+                        with tempfile.SpooledTemporaryFile(REPLY_BYTES) as reply:  # a long one waits on disk
+                            session.reply(s, reply)
+                            reply.seek(0)
+                            while piece := reply.read(1 << 20):
+                                client.sendall(piece)
         except OSError:
             pass
         finally:

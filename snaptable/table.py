@@ -133,20 +133,29 @@ class Table:
             return found
         return found.filter(snapshot.predicate(self.schema, condition.column, condition.operator, condition.literal))
 
-    def select(self, condition: Condition | None = None, txn: Transaction | None = None) -> list[tuple[str, list[str]]]:
-        """(key, texts) of the rows that meet a condition, in byte order of their keys."""
+    def rows(self, condition: Condition | None = None, txn: Transaction | None = None) -> Iterator[tuple[str, list[str]]]:
+        """(key, texts) of the rows that meet a condition, in byte order of their keys.
+
+        From files they come a partition at a time, so the driver holds no whole result."""
         if condition is not None:
             self.schema.place(condition.column)
         if self._is_key(condition):
             row = self.get_by_key(condition.literal, txn)
-            return [] if row is None else [(condition.literal, row)]
+            if row is not None:
+                yield condition.literal, row
+            return
         small = self._small(txn)
         if small is not None:
             test = self._matches(condition)
-            return [(k, f) for k, f in small if test(f)]
+            yield from [(k, f) for k, f in small if test(f)]
+            return
         texts = [f"f{i}" for i in range(len(self.schema.columns))]
-        rows = self.matching(condition, txn).select("__key", *texts).orderBy("__key").collect()
-        return [(r[0], list(r[1:])) for r in rows]
+        for r in self.matching(condition, txn).select("__key", *texts).orderBy("__key").toLocalIterator(prefetchPartitions=True):
+            yield r[0], list(r[1:])
+
+    def select(self, condition: Condition | None = None, txn: Transaction | None = None) -> list[tuple[str, list[str]]]:
+        """``rows`` as a list."""
+        return list(self.rows(condition, txn))
 
     def scan_all(self, txn: Transaction | None = None) -> list[tuple[str, list[str]]]:
         return self.select(None, txn)
