@@ -112,8 +112,8 @@ def mix(
     """The rows of ``docs`` (``columns`` of them, default all) with ``__size``, ``__source_size``, ``__target``, ``__rate``, ``__copies``.
 
     Copies are whole and at most ``cap``. Within buckets of about BUCKET_ROWS documents of a source,
-    from the longest to the shortest, the running sum of rates is rounded, so a bucket misses its
-    tokens by at most half its longest document. Rows without words have rate 1 and one copy. A null source is
+    from the longest to the shortest, the running sum of rates is rounded up from one fraction on, the
+    same throughout the bucket: the one whose words come nearest to the bucket's. Rows without words have rate 1 and one copy. A null source is
     a source of its own, last in order; repeated rows are documents of their own; an empty table
     gives no rows. The same input gives the same copies."""
     spark = docs.sparkSession
@@ -141,8 +141,18 @@ def mix(
     buckets = F.ceil(F.col("docs") / F.lit(BUCKET_ROWS))
     rated = rated.withColumn("rate", rate).withColumn("bucket", F.pmod(F.xxhash64("id", "print"), buckets))
     along = Window.partitionBy("key", "bucket").orderBy(F.desc("size"), "id", "print")
-    carried = F.sum("rate").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    rounded = rated.withColumn("upto", F.floor(carried + 0.5)).withColumn("copies", F.col("upto") - F.lag("upto", 1, 0).over(along))
+    # With the shortest last, a further copy at a place in the order moves one copy to it from the next.
+    whole = Window.partitionBy("key", "bucket")
+    upto = F.round(F.sum("rate").over(along.rowsBetween(Window.unboundedPreceding, 0)), 9)
+    steps = rated.withColumn("upto", upto).withColumn("step", F.col("size") - F.lead("size", 1, 0).over(along))
+    steps = steps.withColumn("part", F.round(F.col("upto") - F.floor("upto"), 9)).withColumn("least", F.floor("upto"))
+    missing = F.sum(F.col("rate") * F.col("size")).over(whole) - F.sum(F.col("least") * F.col("step")).over(whole)
+    gained = F.sum("step").over(whole.orderBy(F.desc("part")))  # with all places of that fraction or a larger one
+    found = steps.withColumns({"missing": F.round(missing, 3), "gained": gained})
+    nearest = F.min(F.struct(F.abs(F.col("missing") - F.col("gained")).alias("off"), F.col("part"))).over(whole)
+    least = F.when(nearest["off"] < F.abs("missing"), nearest["part"]).otherwise(2.0)
+    found = found.withColumn("least", F.col("least") + (F.col("part") >= least).cast("bigint"))
+    rounded = found.withColumn("copies", F.col("least") - F.lag("least", 1, 0).over(along))
     names = [F.col(f"row.`{c}`").alias(c) for c in columns]
     return rounded.select(
         *names, F.col("size").alias("__size"), F.col("total").alias("__source_size"), F.col("target").alias("__target"),
