@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from snaptable import fixed
+
 OPERATORS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 _LEADING = r"^[ \t\n\x0B\f\r]*([+-]?[0-9]+)"
@@ -16,7 +18,7 @@ _NUMBER = re.compile(_LEADING)
 
 class NotANumber(ValueError):
     def __init__(self):
-        super().__init__("stoll")
+        super().__init__(fixed.NOT_A_NUMBER)
 
 
 def integer(text: str) -> int:
@@ -30,7 +32,7 @@ def integer(text: str) -> int:
 def integer_column(text: Column) -> Column:
     """``integer`` for a column; a row without a number fails the query, and only if it is looked at."""
     digits = F.regexp_extract(text, _LEADING, 1)
-    return F.coalesce(digits.try_cast("bigint"), F.raise_error(F.lit("stoll")).cast("bigint"))
+    return F.coalesce(digits.try_cast("bigint"), F.raise_error(F.lit(fixed.NOT_A_NUMBER)).cast("bigint"))
 
 
 def compare(column: Column, op: str, value: int | str) -> Column:

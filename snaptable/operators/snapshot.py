@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snaptable import fixed
 from snaptable.functions.lenient import compare, integer, integer_column
 from snaptable.sources.catalog import Schema
 
@@ -99,7 +100,7 @@ def base_frame(spark: SparkSession, schema: Schema, base: dict) -> DataFrame:
             if not typed:
                 number = integer_column(F.coalesce(col, F.lit("")))
             elif base["gaps"][i]:
-                number = F.when(col.isNull(), F.raise_error(F.lit("stoll"))).otherwise(col)
+                number = F.when(col.isNull(), F.raise_error(F.lit(fixed.NOT_A_NUMBER))).otherwise(col)
             else:
                 number = col
             out.append(number.alias(f"n{i}"))

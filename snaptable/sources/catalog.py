@@ -8,7 +8,7 @@ import threading
 from dataclasses import dataclass
 from pathlib import Path
 
-TYPES = ("int", "string")
+from snaptable import fixed
 
 
 class CatalogError(Exception):
@@ -30,8 +30,8 @@ class Schema:
         """From (name, type) pairs; types are ``int`` and ``string`` in either case."""
         found = []
         for name, kind in columns:
-            if kind.lower() not in TYPES:
-                raise CatalogError(f"unknown column type '{kind}' (expected int or string)")
+            if kind.lower() not in fixed.TYPES:
+                raise CatalogError(fixed.UNKNOWN_TYPE.format(kind))
             if name in (c.name for c in found):
                 raise CatalogError(f"duplicate column: {name}")
             found.append(Column(name, kind.lower()))
@@ -48,7 +48,7 @@ class Schema:
         for i, c in enumerate(self.columns):
             if c.name == name:
                 return i
-        raise CatalogError(f"no such column: {name}")
+        raise CatalogError(fixed.NO_COLUMN.format(name))
 
     def dumped(self) -> list[list[str]]:
         return [[c.name, c.type] for c in self.columns]
@@ -66,7 +66,7 @@ class Catalog:
     def create(self, name: str, schema: Schema) -> int:
         with self.lock:
             if name in self.tables:
-                raise CatalogError(f"Table already exists: {name}")
+                raise CatalogError(fixed.TABLE_EXISTS.format(name))
             number = 1 + max((n for n, _ in self.tables.values()), default=-1)
             after = self.tables | {name: (number, schema)}
             part = self.path.with_suffix(".part")
@@ -80,7 +80,7 @@ class Catalog:
 
     def get(self, name: str) -> tuple[int, Schema]:
         if name not in self.tables:
-            raise CatalogError(f"Table not found: {name}")
+            raise CatalogError(fixed.NOT_IN_CATALOG.format(name))
         return self.tables[name]
 
     def __contains__(self, name: str) -> bool:

@@ -9,6 +9,7 @@ import socket
 import tempfile
 import threading
 
+from snaptable import fixed
 from snaptable.database import Database
 from snaptable.executor import Session
 from snaptable.sql.lexer import split_statements
@@ -19,7 +20,7 @@ REPLY_BYTES = 16 << 20  # of a reply held in memory
 class SqlServer:
     """Bound on construction; port 0 takes any free one, named by ``port``."""
 
-    def __init__(self, db: Database, port: int = 5433, host: str = "127.0.0.1"):
+    def __init__(self, db: Database, port: int = fixed.PORT, host: str = "127.0.0.1"):
         self.db = db
         self.socket = socket.create_server((host, port))
         self.port = self.socket.getsockname()[1]

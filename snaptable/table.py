@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snaptable import fixed
 from snaptable.functions.lenient import OPERATORS, integer
 from snaptable.operators import snapshot
 from snaptable.operators.snapshot import View
@@ -178,16 +179,16 @@ class Table:
         if self.db.txns.chains[self.number].size > FOLD_ROWS:
             self.db.fold(self)
 
-    def _check(self, values: Sequence[str], what: str) -> list[str]:
+    def _check(self, values: Sequence[str], message: str) -> list[str]:
         if len(values) != len(self.schema.columns):
-            raise TableError(f"Mismatched column count in {what}.")
+            raise TableError(message)
         return [str(v) for v in values]
 
     def insert(self, values: Sequence[str], txn: Transaction | None = None) -> None:
         """Adds a row, or a new version of the row with its key; waits for another writer of that key."""
         if not values:
-            raise TableError("No values provided for insert.")
-        fields = self._check(values, "insert")
+            raise TableError(fixed.NO_VALUES)
+        fields = self._check(values, fixed.INSERT_COUNT)
         with self._within(txn) as t:
             self.db.locks.acquire((self.number, fields[0]), t.id)
             t.write(self.number, fields[0], self.db.txns.next_seq(), fields)
@@ -202,7 +203,7 @@ class Table:
         return True
 
     def update_by_key(self, key: str, values: Sequence[str], txn: Transaction | None = None) -> bool:
-        fields = self._check(values, "update")
+        fields = self._check(values, fixed.UPDATE_COUNT)
         with self._within(txn) as t:
             return self._key_row(key, t) is not None and self._change(key, t, lambda _: fields)
 
@@ -271,7 +272,7 @@ class Table:
         comparisons reach the Parquet scan. Nulls become empty texts. In an empty table the rows
         become its base, sorted by key; else they are changes, newer than what is there."""
         if len(rows.columns) != len(self.schema.columns):
-            raise TableError("Mismatched column count in insert.")
+            raise TableError(fixed.INSERT_COUNT)
         own = txn is None
         t = self.db.begin() if own else self.db.txns.get(txn.id)
         try:
