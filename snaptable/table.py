@@ -298,7 +298,9 @@ class Table:
         return n
 
     def write_base(self, rows: DataFrame, seq: int, folded: bool) -> dict:
-        """Writes (``__key``, ``c0``...) as a base: one row for each key, in ranges of keys, sorted."""
+        """Writes (``__key``, ``c0``...) as a base: one row for each key, in ranges of keys, sorted.
+
+        One shuffle, for rows that are nearly one for each key; rows that repeat a key meet in one task."""
         spark, path = self.db.spark, self.db.data_path(self.number)
         kept, text = [], []
         for i, c in enumerate(self.schema.columns):
