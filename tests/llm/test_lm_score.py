@@ -91,3 +91,19 @@ def test_rows_of_every_kind(odd, none):
     assert lm.lm_score(none, held).count() == 0
     unlearned = lm.lm_score(odd, F.lit(True)).filter("doc_id = 4").head()
     assert unlearned.train_tokens == 0 and unlearned.n_known == 0 and unlearned.score == pytest.approx(29 * -math.log10(255), rel=1e-5)
+
+
+@pytest.mark.parametrize("most", [lm.HOT_GRAMS, 400, 0])
+def test_every_context_counts_however_rare(spark, corpus, monkeypatch, most):
+    # One text among many that are nothing like it: its contexts are far below 1/65,536 of all counts.
+    monkeypatch.setattr(lm, "HOT_GRAMS", most)
+    rare = "zyxwvu qpzyxw vutsrq"
+    many = spark.range(1000, 1040).select(F.col("id").alias("doc_id"), F.lit("abcdefgh " * 4000).alias("text"))
+    docs = many.unionByName(corpus.select("doc_id", "text").limit(40)).unionByName(
+        spark.createDataFrame([(2000, rare), (2001, rare[::-1]), (2002, rare + " unmet")], "doc_id bigint, text string"))
+    held = F.col("doc_id").isin(2001, 2002)
+    texts = texts_of(docs)
+    plain = Plain([t for i, t in texts.items() if i not in (2001, 2002)])
+    out = {r.doc_id: r.score for r in lm.lm_score(docs, held).collect()}
+    for i in (2000, 2001, 2002, *sorted(texts)[:3]):
+        assert out[i] == pytest.approx(plain.score(texts[i]), rel=1e-5)
