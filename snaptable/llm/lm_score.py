@@ -468,7 +468,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
 
     Learns from the rows where ``held_out`` is false. Tokens are words and one end for each text. The
     base is a sum over tokens of log10((c + 1) / (N + V + 1)); the score is the PPM model's log10
-    probability of the text's bytes and end. The commonest words and strings of six bytes, at most HOT_WORDS and
+    probability of the text's bytes and end. The end's count, the commonest words and strings of six bytes, at most HOT_WORDS and
     HOT_GRAMS, are broadcast; all others are joined, so every count is exact. A null text is empty: one token, its end. Repeated rows
     stay; without training rows every token is unknown; an empty table gives no rows."""
     spark = docs.sparkSession
@@ -478,12 +478,15 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     words = written(spark, count_words(train), "words")
     sums = words.agg(F.sum("n"), F.count(F.lit(1))).head()
     n_all, kinds = sums[0] or 0, sums[1]
+    ends = words.filter(F.col("word") == "").agg(F.sum("n")).head()[0]  # every text has one, so it is never joined
     cut = least_count(words, "n", HOT_WORDS)
     hot = words.filter(F.col("n") >= cut).toArrow() if cut is not None else None
     frequent = {} if hot is None else dict(zip(hot.column("word").cast(pa.binary()).to_pylist(), hot.column("n").to_pylist(), strict=True))
     strings = written(spark, string_scores(written(spark, count_strings(rows), "strings")), "string_scores")
     common = least_count(strings, "m", HOT_GRAMS)
     top = strings.filter(F.col("m") >= common if common is not None else F.lit(False)).select("code", F.col("v").cast("float")).toArrow()
+    if ends:
+        frequent[b""] = ends
     shared = spark.sparkContext.broadcast((frequent, Scores(top.column("code").to_numpy(), top.column("v").to_numpy())))
     below = float(n_all + kinds + 1)
 

@@ -107,3 +107,11 @@ def test_every_context_counts_however_rare(spark, corpus, monkeypatch, most):
     out = {r.doc_id: r.score for r in lm.lm_score(docs, held).collect()}
     for i in (2000, 2001, 2002, *sorted(texts)[:3]):
         assert out[i] == pytest.approx(plain.score(texts[i]), rel=1e-5)
+
+
+def test_the_end_is_known_when_no_word_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_WORDS", 1)
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
+    for r in lm.lm_score(docs, F.lit(False)).collect():  # 51 tokens, each with a count of 2
+        assert (r.n_tokens, r.n_known) == (51, 51) and r.base_score == pytest.approx(51 * math.log10(3 / (102 + 51 + 1)))
