@@ -294,14 +294,18 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the least identifier of each component, with all its columns.
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The document with the least identifier of each component of ``found``, with all its columns.
 
     Rows that repeat an identifier count as one document: one of them stays, the same in every run.
     A row without an identifier cannot be named as a copy of another and stays."""
-    found = near_duplicates(docs, id_col, text_col, **how)
     stays = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.join(stays, id_col, "left_semi").select(*docs.columns)
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
     named = kept.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The document with the least identifier of each SimHash component, with all its columns."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
