@@ -33,6 +33,7 @@ _CONTEXT = re.compile(
     r"""|private[_-]?key|auth|login)["']?\s{0,8}(?:[:=]|=>|->|\bis\b)\s{0,8}["'`]?([^\s"'`<>,;]{8,})""",
     re.I | re.A,
 )
+_PROSE = re.compile(r"\bis\s+$", re.I | re.A)  # after an unquoted "is" a word of letters is prose
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "cred", "key", "auth", "login")
 
 #: Common password words, the commonest first; callers may pass a longer list.
@@ -160,7 +161,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def guessed_spans(
     text: str, taken: list[tuple[str, int, int]], words: dict[str, int], least: float
 ) -> list[tuple[str, int, int, float]]:
-    """Values in a credential context, clear of all spans in ``taken``, that cost 10**least guesses or more."""
+    """Values in a credential context, inside no span in ``taken``, that cost 10**least guesses or more.
+
+    A value of letters only counts like any other, but for one after an unquoted "is"."""
     low = text.lower()
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
@@ -168,7 +171,9 @@ def guessed_spans(
     for m in _CONTEXT.finditer(text):
         value = m.group(1).rstrip(".:!?)]}")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) < 8 or value.isalpha() or any(s < end and start < e for _, s, e in taken):
+        if len(value) < 8 or any(s <= start and end <= e for _, s, e in taken):
+            continue
+        if value.isalpha() and _PROSE.search(m.group()[: start - m.start()]):
             continue
         cost, _ = guess_cost(value, words)
         if cost >= least:

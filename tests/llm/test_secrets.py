@@ -154,3 +154,11 @@ def test_rows_in_rows_out(spark, odd, none, tmp_path):
 def test_all_alphabet_of_tiny_values():
     for v in map("".join, product("a1A", repeat=4)):
         assert secrets.guess_cost(v, RANKS)[0] <= sum(map(secrets._char_cost, v)) + 1e-9
+
+
+def test_values_of_letters_only_and_those_around_a_base_span():
+    ranks = {w: k for k, w in enumerate(secrets.WORDS, 1)}
+    found = lambda text: [text[a:b] for _, a, b, _ in secrets.guessed_spans(text, secrets.base_spans(text), ranks, 10.0)]
+    assert found("pwd=QxvTzKwLpR") == ["QxvTzKwLpR"] and found('auth: "QxvTzKwLpRbn"') == ["QxvTzKwLpRbn"]
+    assert found("the password is important") == [] and found("pwd=passwordpassword") == []
+    assert found("pwd=Qx!Tz0123456789abcdef") == ["Qx!Tz0123456789abcdef"] and found("pwd=0123456789abcdef") == []
