@@ -33,6 +33,12 @@ def covered(hashes: Column, window: int) -> Column:
     return let(let(paired, positions), total)
 
 
+def normal(line: Column) -> Column:
+    """The hash and the characters of a line without regard to white space and ASCII case."""
+    clean = F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), f"{SPACE}+", " "))
+    return let(clean, lambda c: F.struct(F.xxhash64(c).alias("line"), F.char_length(c).cast("bigint").alias("chars")))
+
+
 def own_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str, window: int = 8) -> DataFrame:
     """One row per document: what its text alone shows, and its distinct normalised lines (hash, characters)."""
     text = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("text"))
@@ -47,10 +53,6 @@ def own_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str, windo
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
 
-    def normal(line: Column) -> Column:
-        clean = F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), f"{SPACE}+", " "))
-        return let(clean, lambda c: F.struct(F.xxhash64(c).alias("line"), F.char_length(c).cast("bigint").alias("chars")))
-
     hashed = parts.select(
         "id",
         "host",
@@ -72,6 +74,44 @@ def own_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str, windo
     )
 
 
+def above_limit(found: DataFrame, lines: DataFrame, least_docs: int, most_share: float) -> DataFrame:
+    """(host, line, gone): the lines above their host's limit."""
+    hosts = found.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least_docs)
+    return common.join(hosts, "host").filter(F.col("n") > most_share * F.col("docs")).select("host", "line", F.lit(True).alias("gone"))
+
+
+def cleaned(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    least_docs: int = 10,
+    most_share: float = 0.005,
+) -> DataFrame:
+    """One row per row of ``docs``: the identifier, the text without the lines above their host's limit,
+    ``n_removed_lines`` and ``removed_chars`` (line ends included). Limits are those of ``line_quality``; all
+    occurrences go, other lines stay as they are. A null text is empty."""
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), host.alias("host"), text_of(text_col).alias("text")).withColumn("print", F.xxhash64("text"))
+    split = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    found = written(docs.sparkSession, rows.select("id", "host", "print", F.array_distinct(F.transform(split, normal)).alias("lines")), "lines")
+    lines = found.select("id", "host", "print", F.explode("lines").alias("x")).select("id", "host", "print", "x.line")
+    above = above_limit(found, lines, least_docs, most_share)
+    gone = lines.join(above, ["host", "line"]).groupBy("id", "host", "print").agg(F.collect_set("line").alias("gone"))
+    gone = gone.select(F.col("id").alias("x"), F.col("host").alias("y"), F.col("print").alias("z"), "gone")
+    same = rows["id"].eqNullSafe(gone["x"]) & (rows["host"] == gone["y"]) & (rows["print"] == gone["z"])
+    whole = F.split("text", "\n")
+    left = F.when(F.col("gone").isNull(), whole).otherwise(F.filter(whole, lambda x: ~F.array_contains("gone", normal(x)["line"])))
+    kept = rows.join(gone, same, "left").withColumn("left", left)
+    clean = F.array_join("left", "\n")
+    return kept.select(
+        F.col("id").alias(id_col), clean.alias(text_col),
+        (F.size(whole) - F.size("left")).cast("bigint").alias("n_removed_lines"),
+        (F.char_length("text") - F.char_length(clean)).cast("bigint").alias("removed_chars"),
+    )
+
+
 def line_quality(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -91,9 +131,7 @@ def line_quality(
     spark = docs.sparkSession
     found = written(spark, own_counts(docs, id_col, text_col, host_col), "own")
     lines = found.select("id", "host", "print", F.explode("lines").alias("x")).select("id", "host", "print", "x.line", "x.chars")
-    hosts = found.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least_docs)
-    above = common.join(hosts, "host").filter(F.col("n") > most_share * F.col("docs")).select("host", "line", F.lit(True).alias("gone"))
+    above = above_limit(found, lines, least_docs, most_share)
     left = lines.join(above, ["host", "line"], "left").groupBy("id", "host", "print").agg(
         F.sum("chars").alias("total"), F.sum(F.when(F.col("gone"), 0).otherwise(F.col("chars"))).alias("stays")
     )

@@ -78,3 +78,10 @@ def test_rows_of_every_kind(odd, none):
 def test_nothing_runs_in_python(odd):
     plan = lq.line_quality(odd.filter(F.lit(True)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_common_lines_leave_the_text(spark, odd, none):
+    docs = [(i, f"own {i} first\n\nThe  MENU of this host\nown {i} last\nthe menu of this host", "hot") for i in range(20)] + [(20, "the menu of this host", "other"), (None, None, None)]
+    out = {r.doc_id: tuple(r)[1:] for r in lq.cleaned(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert all(out[i] == (f"own {i} first\n\nown {i} last", 2, 45) for i in range(10)) and out[20] == ("the menu of this host", 0, 0)
+    assert out[None] == ("", 0, 0) and lq.cleaned(odd).count() == odd.count() and lq.cleaned(none).count() == 0
