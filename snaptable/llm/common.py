@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) is a temporary folder set."""
+    Only where the session has none and runs in this process (tests) is a temporary folder set; on a
+    cluster that would be a folder of the driver alone, so there it is an error."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root:
@@ -39,6 +40,8 @@ def shared_root(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="snaptable-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -54,6 +57,13 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(spark: SparkSession, frame: DataFrame) -> None:
+    """Deletes the folder of a frame that ``written`` returned, once nothing reads it any more."""
+    for name in frame.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows in an Arrow batch: whole texts make batches large, and each is held several times on its way.
 BATCH_ROWS = 1000
 
@@ -78,7 +88,10 @@ _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once per application, and bounds Arrow batches."""
+    """Gives this package to the executors' Python workers, once per application, and bounds Arrow batches.
+
+    Frames are evaluated after a function has returned, so the bound stays in the session; a caller's
+    smaller one is kept."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -100,14 +113,51 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = path
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *stems: str) -> Iterator[str]:
+    """A name for each stem that is none of ``taken``, in either case of letters."""
+    used = {t.lower() for t in taken}
+    for stem in stems:
+        name = stem
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        yield name
+
+
 def text_of(column: str) -> Column:
     """A text column with null read as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of an identifier's text, modulo; a null identifier counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
+    return F.crc32(F.coalesce(named(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, spread: Column, how: str = "left") -> DataFrame:
+    """Joins rows with a table of one row for each key, whose column ``n`` (dropped) counts the key's rows, ``total`` in all.
+
+    Fewer than 1,000 keys can hold over a thousandth of all rows each: those are broadcast, and their rows
+    are dealt by ``spread`` instead, so no key makes a task. ``how`` is left or inner; rows and table share
+    the key columns only, and keys are not null."""
+    values = [c for c in table.columns if c not in (*keys, n)]
+    hot, here, deal = fresh([*rows.columns, *table.columns], "hot", "here", "deal")
+    many = named(n) * 1000 > F.lit(total)
+    few = table.filter(many).select(*[named(k) for k in keys], F.struct(F.lit(True).alias(here), *[named(v) for v in values]).alias(hot))
+    seen = rows.join(F.broadcast(few), keys, "left").withColumn(deal, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0))
+    rest = table.filter(~many).select(*[named(k).alias(f"{hot}{i}") for i, k in enumerate(keys)], F.struct(F.lit(True).alias(here), *[named(v) for v in values]).alias(here))
+    same = F.col(deal) == F.col(f"{deal}0")
+    for i, k in enumerate(keys):
+        same &= seen[f"`{k}`"] == rest[f"{hot}{i}"]
+    met = seen.join(rest.withColumn(f"{deal}0", F.lit(0).cast("bigint")), same, "left")
+    found = F.coalesce(F.col(hot), F.col(here))
+    out = met.select(*[seen[f"`{c}`"] for c in rows.columns], *[found.getField(v).alias(v) for v in values], found.isNotNull().alias(deal))
+    return (out.filter(F.col(deal)) if how == "inner" else out).drop(deal)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

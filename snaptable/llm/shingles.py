@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Equal texts (white space and ASCII case aside) collapse first. Minima of hashed shingles in bands
-propose which texts may be alike; all texts that proposals connect form a group, and within a group
-every two texts are compared by their whole shingle sets, so what is linked is exact. A group over
-``group_rows`` is dealt into chunks and every pair of chunks is a task's group of its own. Two texts of
+"""The near-duplicates that SimHash links and those that it is too coarse for.
+
+Two texts with a Jaccard similarity of 0.8 differ in about ten of 64 bits, and a Hamming budget that
+wide links strangers, so SimHash with its small budget finds close copies only. Here its links are
+joined by those of the shingle sets. Equal texts (white space and ASCII case aside) collapse first.
+Minima of hashed shingles in bands propose which texts may be alike; all texts that proposals connect form a
+group, and within a group every two texts are compared by their whole shingle sets, so what is linked is exact. A
+group over ``group_rows`` is dealt into chunks and every pair of chunks is a task's group of its own. Two texts of
 similarity 0.8 share one of the 20 bands with a probability of 0.9996, more alike ones more surely.
 """
 
@@ -17,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, worker_keeps, written
-from snaptable.llm.simhash import components, keep_least
+from snaptable.llm.common import named, ship, text_of, worker_keeps, written
+from snaptable.llm.simhash import components, links, majority, shingle_hashes
 
 BANDS, ROWS = 20, 5
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -29,14 +31,9 @@ def normal(text: str) -> bytes:
     return b" ".join(text.encode().lower().split())
 
 
-def shingle_set(joined: bytes, words: int = 5) -> np.ndarray:
-    """The distinct hashes of a normal text's shingles; a shorter text is one shingle."""
-    tokens = joined.split()
-    ends = np.cumsum([len(t) + 1 for t in tokens])
-    starts = [0, *ends[:-1].tolist()]
-    stops = (ends - 1).tolist()[min(words, len(tokens)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64))
+def shingle_set(text: bytes | str, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles; a shorter text is one shingle."""
+    return np.unique(shingle_hashes(text.decode() if isinstance(text, bytes) else text, words))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -74,31 +71,39 @@ def linked(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, group_rows: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, budget: int = 4, group_rows: int = 1024
 ) -> DataFrame:
     """One row per row of ``docs``: identifier and ``component_id``, the least identifier that links reach.
 
-    Two texts are linked if their shingle sets have a Jaccard similarity of ``least`` or more. Null, empty and
+    Two texts are linked if their fingerprints of shingles differ in at most ``budget`` bits, or if their
+    shingle sets have a Jaccard similarity of ``least`` or more. Null, empty and
     wordless texts are equal. Null identifiers never are the least one, unless a component has no other: then
     it is null. Repeated rows stay; an empty table gives no rows. Only the two named columns are read."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("shingles", dict)
         for batch in batches:
-            found, keys = [], []
-            for text in batch.column(1).to_pylist():
-                joined = normal(text)
-                found.append(xxhash.xxh64_intdigest(joined))
-                keys.append(np.array(band_keys(shingle_set(joined, words)) if joined else [], dtype=np.uint64).view(np.int64))
-            signed = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "keys"])
-
-    named = written(spark, rows.mapInArrow(prints, f"id {kind}, print bigint, keys array<bigint>"), "shingle_prints")
-    nodes = written(spark, named.groupBy("print").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "texts")
+            found, bits, keys = [], [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                hashes = shingle_hashes(text, words)
+                found.append(xxhash.xxh64_intdigest(normal(text)))
+                bits.append(majority(hashes))
+                keys.append(np.array(band_keys(np.unique(hashes)) if len(hashes) else [], dtype=np.uint64).view(np.int64))
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (found, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "fp", "keys"])
+
+    known = written(spark, rows.mapInArrow(prints, f"id {kind}, print bigint, fp bigint, keys array<bigint>"), "shingle_prints")
+    nodes = written(spark, known.groupBy("print").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    firsts = nodes.groupBy("fp").agg(F.min("print").alias("first"))
+    same = nodes.join(firsts, "fp").filter("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b"))
+    near = links(firsts.select("fp"), budget)
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    close = same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
     banded = nodes.select("print", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("print").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     groups = components(banded.join(shared, "key").filter("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b")))
@@ -113,7 +118,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(hashes, pa.binary())], names=["print", "hashes"])
 
     # One row of each text in a group, found by its least identifier's row or, where it has none, by any.
-    chosen = named.join(groups.select(F.col("node").alias("print"), "root"), "print").select("id", "print", "root")
+    chosen = known.join(groups.select(F.col("node").alias("print"), "root"), "print").select("id", "print", "root")
     texts = rows.join(chosen.select("id").filter("id is not null").distinct(), "id", "left_semi")
     texts = texts.unionByName(rows.filter("id is null")).select("text")
     hashed = texts.mapInArrow(sets, "print bigint, hashes binary").join(groups.withColumnRenamed("node", "print"), "print")
@@ -148,14 +153,9 @@ def near_duplicates(
         if len(held) > 1:
             yield out()
 
-    tree = components(dealt.mapInArrow(compare, "a bigint, b bigint"))
+    tree = components(close.unionByName(dealt.mapInArrow(compare, "a bigint, b bigint")))
     rooted = nodes.join(tree, nodes["print"] == tree["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select("id", "print").join(rooted.join(smallest, "root").select("print", "component_id"), "print").select(
+    return known.select("id", "print").join(rooted.join(smallest, "root").select("print", "component_id"), "print").select(
         F.col("id").alias(id_col), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the least identifier of each component, with all its columns."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)

@@ -15,30 +15,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, worker_keeps, written
+from snaptable.llm.common import fresh, named, ship, text_of, worker_keeps, written
 
 BITS = 64
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, repeats included; a shorter text is one shingle."""
     tokens = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = [0, *ends[:-1].tolist()]
     stops = (ends - 1).tolist()[min(words, len(tokens)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(BITS, dtype=np.int64), len(stops)
-    for at in range(0, n, 65536):  # a very long text goes piece by piece
-        part = [digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536], strict=False)]
-        bits = np.unpackbits(np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=False)), dtype=np.uint64, count=len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; 0 for none."""
+    total = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):  # a very long text goes piece by piece
+        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -57,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    frame = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    frame = docs.select(named(id_col).alias("id"), text_of(text_col).alias("text"))
     return frame.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
 
 
@@ -288,8 +297,8 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    known = rooted.join(smallest, "root").select("fp", "component_id")
+    return prints.join(known, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -299,13 +308,24 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Dat
 
     Rows that repeat an identifier count as one document: one of them stays, the same in every run.
     A row without an identifier cannot be named as a copy of another and stays."""
-    stays = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(stays, id_col, "left_semi").select(*docs.columns)
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    named = kept.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").drop("__turn")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the least identifier of each SimHash component, with all its columns."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+    own = named(id_col)
+    mark, times = fresh(docs.columns, "mark", "times")
+    stays = found.filter(own == F.col("component_id")).groupBy(own.alias(mark)).agg(F.count(F.lit(1)).alias(times))
+    once = docs.join(stays.filter(F.col(times) == 1), own == F.col(mark), "left_semi")
+    # Few identifiers repeat; of a hot one each task sends one row on.
+    again = docs.join(stays.filter(F.col(times) > 1), own == F.col(mark), "left_semi")
+    whole = [named(c) for c in docs.columns]
+    again = again.groupBy(own.alias(mark)).agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias(times))
+    again = again.select(*[F.col(times).getField(c).alias(c) for c in docs.columns])
+    return once.unionByName(again).unionByName(docs.filter(own.isNull()))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, budget: int = 4) -> DataFrame:
+    """The document with the least identifier of each group of near-duplicates, with all its columns.
+
+    A link is a SimHash within ``budget`` bits, or a Jaccard similarity of ``least`` or more of the shingle
+    sets, which 64 bits alone cannot tell: see ``shingles``. Nulls, empty texts, repeated rows and
+    empty tables are as there and in ``keep_least``; other columns, whatever their names, are not looked at."""
+    from snaptable.llm import shingles
+
+    return keep_least(docs, shingles.near_duplicates(docs, id_col, text_col, words, least, budget), id_col)

@@ -11,8 +11,10 @@ def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, a second row of one identifier, other columns."""
     rows = [(i, t, "en" if i % 2 else None, f"s{i % 2}" if i % 3 else None, 1, "x", 2.0) for i, t in enumerate(TEXTS)]
     rows += [rows[3], (None, "No identifier here at all, none.", "en", "s1", 1, "y", None), (3, "Another text of the same identifier.", None, None, None, None, 0.0)]
-    # Columns with names that operators use inside.
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, id int, fp string, score double").cache()
+    # Columns with names that operators use inside, or that need quoting.
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, id int, fp string, score double")
+    extra = ["__id", "__size", "__copies", "__turn", "a.b", "text`s", "hot", "mark", "times", "key", "size", "copies", "turn", "print"]
+    return frame.select("*", *[F.lit(i).alias(n) for i, n in enumerate(extra)]).cache()
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline as p
 from llm_helpers import rows
-from snaptable.llm import decontaminate, simhash
+from snaptable.llm import decontaminate, shingles
 from snaptable.llm.queries import queries
 
 BIG = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_each_stage_does_its_work(spark, folder):
         docs = out
     ids = {n: {r.doc_id for r in f.select("doc_id").collect()} for n, f in seen.items()}
     assert {1008, 1009}.isdisjoint(ids["language"]) and set(range(300)) == ids["language"]
-    groups = simhash.near_duplicates(seen["language"]).groupBy("component_id").count()
+    groups = shingles.near_duplicates(seen["language"]).groupBy("component_id").count()
     assert ids["near_duplicates"] == {r.component_id for r in groups.collect()}
     leaks = decontaminate.find_leaks(seen["near_duplicates"], spark.read.parquet(f"{folder}/benchmark.parquet"))
     assert ids["near_duplicates"] - ids["benchmark_leaks"] == {r.doc_id for r in leaks.collect()} >= {7}
