@@ -1,19 +1,24 @@
 """URL filter: fixed rules first, else a path-template tree, in DataFrame functions only.
 
-Per host the paths form a tree of segments. Runs of digits in a segment are variable; a node whose
-children are nearly all different is variable too, and all of them become one wildcard. Siblings
-of a host whose labelled share of blocked pages does not differ from the host's (by a z test) merge,
-as do those above it and those below it; a merged branch is rejected when its share of blocked
-pages, smoothed towards the host's, is high.
+Per host the paths form a tree; its edges are segments, a folder's with a slash behind it, so that a page
+and a folder of one name differ. Runs of digits in a segment are variable; a node's folders, or its pages,
+that are nearly all different become one wildcard, level by level from the top, at any depth. The
+rules' verdicts label the tree. Siblings in order of their blocked share merge as long as neighbours do not
+differ by a two-proportion z test. A template's purity is its merged branch's share of blocked pages,
+smoothed towards what its parent lets expect of a child: the mean share of the parent's labelled
+children, smoothed in turn towards the same of the levels above, and towards one half at the top. So many labels in
+one branch say little about a sibling, and without evidence nothing is rejected.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snaptable.llm.common import join_hot, named, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host and path prefix)
@@ -25,9 +30,6 @@ RULES = (
     ("block", "org/es/"),
 )
 
-DEPTH = 3  # levels of the tree; what lies deeper shares the last level's rest
-
-
 def host_and_path(frame: DataFrame, url_col: str) -> DataFrame:
     """Adds ``host`` and ``path``: the host runs from the first ``://`` to ``/``, ``?``, ``#`` or the end."""
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
@@ -50,11 +52,81 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """The typed segments of a path, one for each level, '' below its end; digits are variable."""
-    all_of = F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), "")
-    level = [F.coalesce(F.get(all_of, F.lit(k)), F.lit("")) for k in range(DEPTH - 1)]
-    return [*level, F.array_join(F.slice(all_of, DEPTH, 2**31 - 1), "/")]
+def labels_of(path: Column) -> Column:
+    """The edges of a path from the top: segments with digits as ``{n}``, all but the last with a slash."""
+    parts = F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), "")
+    last = F.size(parts) - 1
+    edges = F.transform(parts, lambda s, i: F.when(i < last, F.concat(s, F.lit("/"))).otherwise(s))
+    return F.when(F.size(parts) > 0, edges).otherwise(F.array(F.lit("")))
+
+
+def templates(paths: DataFrame, least_children: int, rows_per_child: float) -> DataFrame:
+    """``paths`` (host, labels, n and further columns) with ``template``, the labels with wildcards.
+
+    One round for each level, over the paths below nodes that could still get a wildcard: a node of fewer than
+    ``least_children`` paths has none below it, so long lone paths cost no rounds."""
+    spark = paths.sparkSession
+    open_, rounds, done = paths.withColumn("template", F.array().cast("array<string>")), [], []
+    while True:
+        k = len(rounds)
+        # Below nodes with enough paths another level is looked at; all others are finished as they are.
+        busy = open_.groupBy("host", "template").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least_children).drop("c")
+        rest = F.concat("template", F.slice("labels", k + 1, 2**31 - 1))
+        done.append(open_.join(busy, ["host", "template"], "left_anti").withColumn("template", rest).select(*paths.columns, "template"))
+        going = open_.join(busy, ["host", "template"], "left_semi").withColumn("at", F.get("labels", F.lit(k)))
+        going = going.withColumn("folder", F.col("at").endswith("/"))
+        kinds = going.groupBy("host", "template", "folder", "at").agg(F.sum("n").alias("n")).groupBy("host", "template", "folder")
+        wide = kinds.agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
+        wide = wide.filter((F.col("kinds") >= least_children) & (F.col("all") < rows_per_child * F.col("kinds")))
+        star = F.when(F.col("star"), F.when(F.col("folder"), F.lit("*/")).otherwise(F.lit("*"))).otherwise(F.col("at"))
+        stepped = going.join(wide.select("host", "template", "folder", F.lit(True).alias("star")), ["host", "template", "folder"], "left")
+        stepped = stepped.withColumn("template", F.concat("template", F.array(star))).select(*paths.columns, "template", "folder")
+        level = written(spark, stepped, "level")
+        if level.isEmpty():
+            return written(spark, reduce(DataFrame.unionByName, done), "templates")
+        rounds.append(level)
+        done.append(level.filter(~F.col("folder")).drop("folder"))
+        open_ = level.filter("folder").drop("folder")
+
+
+def prefix(labels: str, size: Column | int) -> Column:
+    return F.array_join(F.slice(labels, 1, size), "")
+
+
+def purities(found: DataFrame, z_limit: float, prior: float) -> DataFrame:
+    """(host, template, purity) for each template of ``found`` (host, template, labelled, blocked)."""
+    spark = found.sparkSession
+    known = found.filter("labelled > 0").groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    levels = F.sequence(F.lit(1), F.size("template"))
+    nodes = known.select("host", "template", "l", "b", F.explode(levels).alias("d"))
+    nodes = nodes.groupBy("host", prefix("template", F.col("d") - 1).alias("parent"), prefix("template", F.col("d")).alias("node")).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+    nodes = written(spark, nodes, "nodes")
+    # Siblings with the same counts don't differ; so few rows are left of a parent with very many children.
+    classes = nodes.groupBy("host", "parent", "l", "b").agg(F.count(F.lit(1)).alias("c"))
+    along = Window.partitionBy("host", "parent").orderBy(F.col("b") / F.col("l"), "l")
+    l0, b0 = F.lag("l").over(along), F.lag("b").over(along)
+    pooled = (F.col("b") + F.col("b0")) / (F.col("l") + F.col("l0"))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.col("l0")))
+    z = (F.col("b") / F.col("l") - F.col("b0") / F.col("l0")) / F.when(error > 0, error)
+    grouped = classes.withColumns({"l0": l0, "b0": b0}).withColumn("new", F.coalesce(z > z_limit, F.lit(False)).cast("int"))
+    grouped = grouped.withColumn("branch", F.sum("new").over(along))
+    whole = Window.partitionBy("host", "parent", "branch")
+    merged = grouped.select(
+        "host", "parent", "l", "b", "c", F.sum(F.col("l") * F.col("c")).over(whole).alias("gl"), F.sum(F.col("b") * F.col("c")).over(whole).alias("gb")
+    )
+    merged = written(spark, merged, "branches")
+    share = F.sum(F.col("c") * (F.col("b") / F.col("l")))
+    parents = merged.groupBy("host", "parent").agg(share.alias("share"), F.sum("c").alias("kinds"))
+    each = found.select("host", "template").distinct()
+    above = each.select("host", "template", F.explode(F.sequence(F.lit(0), F.size("template") - 1)).alias("d"))
+    above = above.withColumn("parent", prefix("template", F.col("d"))).join(parents, ["host", "parent"])
+    chain = above.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("d", "share", "kinds"))).alias("chain"))
+    expected = F.aggregate("chain", F.lit(0.5), lambda m, x: (x["share"] + prior * m) / (x["kinds"] + prior))
+    own = nodes.join(merged.drop("c"), ["host", "parent", "l", "b"]).select("host", "node", "gl", "gb")
+    full = each.withColumn("node", F.array_join("template", "")).join(own, ["host", "node"], "left").join(chain, ["host", "template"], "left")
+    hope = F.coalesce(expected, F.lit(0.5))
+    purity = F.coalesce((F.col("gb") + prior * F.col("hope")) / (F.col("gl") + prior), F.col("hope"))
+    return full.withColumn("hope", hope).select("host", "template", F.round(purity, 6).alias("purity"))
 
 
 def url_filter(
@@ -68,59 +140,36 @@ def url_filter(
     prior: float = 2.0,
     reject_at: float = 0.8,
 ) -> DataFrame:
-    """One row per row of ``pages``: identifier, ``host``, ``path``, ``rule``, ``verdict``, ``template``.
-
-    The rules' verdicts are the tree's labels. A node's children become one wildcard if there are
-    ``least_children`` or more of them with fewer than ``rows_per_child`` rows each on average. A
-    branch's purity is (blocked + prior * host's) / (labelled + prior), the host's the same with 1/2;
-    from ``reject_at`` on it is rejected, so a host without labels is allowed. Null URLs and URLs without
-    ``://`` have empty host and path; repeated rows stay; an empty table gives no rows. Hot hosts are
-    summed to their distinct typed paths before any join."""
+    """One row per row of ``pages``: identifier, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``purity``.
+
+    The rules' verdicts are the tree's labels. A node's folders (or pages) become one wildcard if there
+    are ``least_children`` or more of them with fewer than ``rows_per_child`` rows each on average. Sibling branches
+    merge up to a z of ``z_limit``. Smoothing counts as ``prior`` pages, or children. A page without a rule is
+    blocked if its template's purity is ``reject_at`` or more. Null URLs and URLs without ``://`` have empty host and path, ``/`` as
+    template, and are one host; repeated rows stay, null identifiers too; an empty table gives no rows. Columns
+    besides the two named are not read. Hosts are summed to their distinct typed paths first."""
+    spark = pages.sparkSession
     name, verdict = rule_of(rules)
-    rows = host_and_path(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url")
-    rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    typed = [f"s{k}" for k in range(DEPTH)]
-    rows = rows.select("*", *[c.alias(n) for c, n in zip(segments(F.col("path")), typed, strict=True)])
-    tree = rows.groupBy("host", *typed).agg(
+    rows = host_and_path(pages.select(named(id_col).alias("id"), named(url_col).cast("string").alias("url")), "url")
+    rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("ruled"), labels_of(F.col("path")).alias("labels"))
+    paths = rows.groupBy("host", "labels").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("ruled").alias("labelled"),
         F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"),
     )
-    for k in range(DEPTH):
-        above = ["host", *[f"g{j}" for j in range(k)]]
-        children = tree.groupBy(*above, f"s{k}").agg(F.sum("n").alias("n"))
-        node = children.groupBy(*above).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-        variable = (F.col("kinds") >= least_children) & (F.col("all") < rows_per_child * F.col("kinds"))
-        tree = tree.join(node, above).withColumn(f"g{k}", F.when(variable, F.lit("*")).otherwise(F.col(f"s{k}"))).drop("kinds", "all")
-    general = [f"g{k}" for k in range(DEPTH)]
-    branch = tree.groupBy("host", *general).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    hosts = branch.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
-    share = F.col("host_blocked") / F.col("host_labelled")
-    z = (F.col("blocked") - F.col("labelled") * share) / F.sqrt(F.col("labelled") * share * (1 - share))
-    tested = (F.col("labelled") > 0) & (F.col("host_blocked") > 0) & (F.col("host_blocked") < F.col("host_labelled"))
-    side = F.when(tested, F.when(z > z_limit, 1).when(z < -z_limit, -1).otherwise(0)).otherwise(0)
-    sided = branch.join(hosts, "host").withColumn("side", side)
-    merged = sided.groupBy("host", "side").agg(
-        F.sum("labelled").alias("labelled"),
-        F.sum("blocked").alias("blocked"),
-        F.first("host_labelled").alias("host_labelled"),
-        F.first("host_blocked").alias("host_blocked"),
-    )
-    of_host = (F.col("host_blocked") + prior * 0.5) / (F.col("host_labelled") + prior)
-    purity = (F.col("blocked") + prior * of_host) / (F.col("labelled") + prior)
-    judged = sided.select("host", *general, "side").join(merged.select("host", "side", (purity >= reject_at).alias("reject")), ["host", "side"])
-    template = F.concat(*reduce(lambda a, g: [*a, F.when(F.col(g) != "", F.concat(F.lit("/"), F.col(g))).otherwise("")], general, []))
-    leaf = tree.select("host", *typed, *general).join(judged, ["host", *general])
-    leaf = leaf.select("host", *typed, template.alias("template"), "reject")
-    found = rows.join(leaf, ["host", *typed], "left")
-    methods = F.when(F.col("reject"), "block").otherwise("allow")
-    return found.select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", methods).alias("verdict"), "template"
+    found = templates(written(spark, paths, "paths"), least_children, rows_per_child)
+    judged = found.select("host", "labels", "n", "template").join(purities(found, z_limit, prior), ["host", "template"])
+    judged = judged.select("host", "labels", "n", F.concat(F.lit("/"), F.array_join("template", "")).alias("template"), "purity")
+    leaf = written(spark, judged, "judged")
+    total = leaf.agg(F.sum("n")).head()[0] or 0
+    methods = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
+    return join_hot(rows, leaf, ["host", "labels"], "n", total, F.col("id")).select(
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", methods).alias("verdict"), "template", "purity"
     )
 
 
 ORACLE = r"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
   SELECT page_id,
@@ -135,34 +184,45 @@ r AS (
       WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
     list_filter(string_split(regexp_replace(path, '[0-9]+', '{n}', 'g'), '/'), lambda x: x <> '') AS s FROM p),
 k AS (
-  SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
-    coalesce(s[1], '') AS s0, coalesce(s[2], '') AS s1, array_to_string(s[3:], '/') AS s2 FROM r),
+  SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+    CASE WHEN len(s) = 0 THEN [''] ELSE list_transform(s, lambda x, i: CASE WHEN i < len(s) THEN x || '/' ELSE x END) END AS labels FROM r),
 t AS (
-  SELECT host, s0, s1, s2, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked
-  FROM k GROUP BY ALL),
-n0 AS (SELECT host, count(DISTINCT s0) >= 20 AND sum(n) < 2.0 * count(DISTINCT s0) AS v FROM t GROUP BY host),
-t0 AS (SELECT t.*, CASE WHEN v THEN '*' ELSE s0 END AS g0 FROM t JOIN n0 USING (host)),
-n1 AS (SELECT host, g0, count(DISTINCT s1) >= 20 AND sum(n) < 2.0 * count(DISTINCT s1) AS v FROM t0 GROUP BY ALL),
-t1 AS (SELECT t0.*, CASE WHEN v THEN '*' ELSE s1 END AS g1 FROM t0 JOIN n1 USING (host, g0)),
-n2 AS (SELECT host, g0, g1, count(DISTINCT s2) >= 20 AND sum(n) < 2.0 * count(DISTINCT s2) AS v FROM t1 GROUP BY ALL),
-t2 AS (SELECT t1.*, CASE WHEN v THEN '*' ELSE s2 END AS g2 FROM t1 JOIN n2 USING (host, g0, g1)),
-b AS (
-  SELECT host, g0, g1, g2, sum(labelled)::BIGINT AS labelled, sum(blocked)::BIGINT AS blocked FROM t2 GROUP BY ALL),
-h AS (SELECT host, sum(labelled)::DOUBLE AS hl, sum(blocked)::DOUBLE AS hb FROM b GROUP BY host),
-sd AS (
-  SELECT b.*, hl, hb, CASE WHEN labelled > 0 AND hb > 0 AND hb < hl THEN
-      CASE WHEN (blocked - labelled * (hb / hl)) / sqrt(labelled * (hb / hl) * (1 - hb / hl)) > 1.96 THEN 1
-           WHEN (blocked - labelled * (hb / hl)) / sqrt(labelled * (hb / hl) * (1 - hb / hl)) < -1.96 THEN -1 ELSE 0 END
-    ELSE 0 END AS side FROM b JOIN h USING (host)),
+  SELECT host, labels, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM k GROUP BY ALL),
+walk AS (
+  SELECT host, labels, n, labelled, blocked, []::VARCHAR[] AS done, 0 AS d FROM t
+  UNION ALL
+  SELECT host, labels, n, labelled, blocked, list_append(done, CASE
+      WHEN count(DISTINCT labels[d + 1]) OVER w < 20 OR sum(n) OVER w >= 2.0 * count(DISTINCT labels[d + 1]) OVER w THEN labels[d + 1]
+      WHEN ends_with(labels[d + 1], '/') THEN '*/' ELSE '*' END), d + 1
+  FROM walk WHERE d < len(labels) WINDOW w AS (PARTITION BY host, done, ends_with(labels[d + 1], '/'))),
+f AS (SELECT host, labels, labelled, blocked, done AS tpl FROM walk WHERE d = len(labels)),
+known AS (SELECT host, tpl, sum(labelled)::BIGINT AS l, sum(blocked)::BIGINT AS b FROM f WHERE labelled > 0 GROUP BY host, tpl),
+nodes AS (
+  SELECT host, array_to_string(tpl[1:d - 1], '') AS parent, array_to_string(tpl[1:d], '') AS node, sum(l)::BIGINT AS l, sum(b)::BIGINT AS b
+  FROM (SELECT *, unnest(range(1, len(tpl) + 1)) AS d FROM known) GROUP BY ALL),
+c AS (SELECT host, parent, l, b, count(*) AS c FROM nodes GROUP BY ALL),
+c0 AS (SELECT *, lag(l) OVER w AS l0, lag(b) OVER w AS b0 FROM c WINDOW w AS (PARTITION BY host, parent ORDER BY b::DOUBLE / l, l)),
+c1 AS (SELECT *, (b + b0)::DOUBLE / (l + l0) AS q FROM c0),
+c2 AS (
+  SELECT *, CASE WHEN q > 0 AND q < 1 AND (b::DOUBLE / l - b0::DOUBLE / l0) / sqrt(q * (1 - q) * (1.0::DOUBLE / l + 1.0::DOUBLE / l0)) > 1.96 THEN 1 ELSE 0 END AS new FROM c1),
+c3 AS (SELECT *, sum(new) OVER (PARTITION BY host, parent ORDER BY b::DOUBLE / l, l) AS branch FROM c2),
 m AS (
-  SELECT host, side, (sum(blocked) + 2.0 * ((max(hb) + 1.0) / (max(hl) + 2.0))) / (sum(labelled) + 2.0) >= 0.8 AS reject
-  FROM sd GROUP BY host, side),
+  SELECT host, parent, l, b, c, sum(l * c) OVER w AS gl, sum(b * c) OVER w AS gb FROM c3 WINDOW w AS (PARTITION BY host, parent, branch)),
+par AS (SELECT host, parent, sum(c * (b::DOUBLE / l)) AS share, sum(c)::DOUBLE AS kinds FROM m GROUP BY host, parent),
+e AS (SELECT DISTINCT host, tpl FROM f),
+ch AS (
+  SELECT e.host, e.tpl, list({'s': share, 'k': kinds} ORDER BY d) AS chain
+  FROM (SELECT *, unnest(range(0, len(tpl))) AS d FROM e) e JOIN par ON par.host = e.host AND par.parent = array_to_string(e.tpl[1:d], '') GROUP BY e.host, e.tpl),
+h AS (
+  SELECT e.host, e.tpl, coalesce(list_reduce(list_prepend({'s': 0.5::DOUBLE, 'k': 0::DOUBLE}, chain),
+    lambda a, x: {'s': (x.s + 2.0::DOUBLE * a.s) / (x.k + 2.0::DOUBLE), 'k': 0::DOUBLE}).s, 0.5::DOUBLE) AS hope
+  FROM e LEFT JOIN ch ON e.host = ch.host AND e.tpl = ch.tpl),
 j AS (
-  SELECT t2.host, s0, s1, s2, reject,
-    CASE WHEN g0 <> '' THEN '/' || g0 ELSE '' END || CASE WHEN g1 <> '' THEN '/' || g1 ELSE '' END
-      || CASE WHEN g2 <> '' THEN '/' || g2 ELSE '' END AS template
-  FROM t2 JOIN sd USING (host, g0, g1, g2) JOIN m USING (host, side))
+  SELECT h.host, h.tpl, round(coalesce((m.gb + 2.0::DOUBLE * hope) / (m.gl + 2.0::DOUBLE), hope), 6) AS purity
+  FROM h LEFT JOIN nodes ON nodes.host = h.host AND nodes.node = array_to_string(h.tpl, '')
+  LEFT JOIN m ON m.host = nodes.host AND m.parent = nodes.parent AND m.l = nodes.l AND m.b = nodes.b)
 SELECT k.page_id, k.host, k.path, k.rule,
-  coalesce(k.ruled, CASE WHEN j.reject THEN 'block' ELSE 'allow' END) AS verdict, j.template
-FROM k LEFT JOIN j USING (host, s0, s1, s2)
+  coalesce(k.ruled, CASE WHEN j.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || array_to_string(f.tpl, '') AS template, j.purity
+FROM k JOIN f ON f.host = k.host AND f.labels = k.labels JOIN j ON j.host = f.host AND j.tpl = f.tpl
 """
