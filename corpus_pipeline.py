@@ -1,4 +1,4 @@
-"""A corpus pipeline: language, near duplicates, benchmark leaks, near copies, source mix, token shards.
+"""A corpus pipeline: language, near duplicates, benchmark leaks, source mix, token shards.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written
 as Parquet and read again as the next one's documents. All but the last return the columns of
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snaptable.llm import decontaminate, language_id, mixing, shingles, simhash, token_shards
+from snaptable.llm import decontaminate, language_id, mixing, simhash, token_shards
 from snaptable.llm.common import remainder, shared_path, table
 from snaptable.llm.queries import tokenizer_path
 
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each SimHash component."""
+    """Keeps the least doc_id of each group that SimHash, or 0.8 of the five-word shingles, connects."""
     return simhash.keep_one(docs)
 
 
@@ -34,11 +34,6 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of the texts that a similarity of 0.8 or more in five-word shingles connects."""
-    return shingles.keep_one(docs)
-
-
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources meet their token targets."""
     return mixing.repeated(docs)
@@ -53,7 +48,6 @@ STAGES = [
     ("language", language),
     ("near_duplicates", near_duplicates),
     ("benchmark_leaks", benchmark_leaks),
-    ("near_copies", near_copies),
     ("source_mix", source_mix),
     ("token_output", token_output),
 ]
