@@ -139,6 +139,15 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(named(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
+#: Rows of a key-only table that are sent to every executor; larger ones are joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def counted(frame: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast only if its counted rows are at most SMALL_ROWS."""
+    return F.broadcast(frame) if frame.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else frame
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, spread: Column, how: str = "left") -> DataFrame:
     """Joins rows with a table of one row for each key, whose column ``n`` (dropped) counts the key's rows, ``total`` in all.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from llm_helpers import rows, texts_of
 from snaptable.llm import line_quality as lq
 
-NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_lines", "common_chars"]
 
 
 def own(text):
@@ -57,9 +57,24 @@ def test_documents_of_common_lines_go_and_others_stay(spark):
     assert all(out[i].kept for i in range(30, 90))
 
 
+def test_copies_of_one_document_are_one_document(spark):
+    own_words = " ".join(f"own{j}" for j in range(40))
+    docs = [(1, own_words, "s")] * 12 + [(None, own_words + " none", "s")] * 12 + [(i, f"own {i} {own_words} twelve", "s") for i in range(2, 4)] * 6
+    docs += [(i, own_words + "\nof eleven", "t") for i in range(10, 21)]
+    out = lq.line_quality(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()
+    assert len(out) == len(docs) and all(r.kept == (r.doc_id is None or r.doc_id < 10) for r in out)
+    assert {(r.n_common_lines, r.common_chars) for r in out if not r.kept} == {(2, len(own_words) + 9)}
+
+
+def test_in_a_large_host_an_absolute_limit_holds(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("shared line\nline "), "id").alias("text"), F.lit("s").alias("source"))
+    lines = lambda **how: {r.n_common_lines for r in lq.line_quality(docs, most_share=2.0, **how).collect()}
+    assert lines() == {0} and lines(most_docs=500) == {1}
+
+
 def test_the_sql_agrees(spark, odd, none):
     docs = spark.createDataFrame(made(300), "doc_id bigint, text string, source string")
-    docs = docs.unionByName(docs.limit(5)).unionByName(odd.select("doc_id", "text", "source").filter("doc_id is null or doc_id not in (5, 6, 7)"))
+    docs = docs.unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id < 30").selectExpr("null doc_id", "text", "source")).unionByName(odd.select("doc_id", "text", "source").filter("doc_id is null or doc_id not in (5, 6, 7)"))
     c = duckdb.connect()
     c.register("documents", docs.toPandas())
     c.sql("CREATE TABLE d2 AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, source FROM documents")
