@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import SPACE, text_of, written
+from snaptable.llm.common import SPACE, counted, discard, fresh, named, text_of, written
 
 BUCKET_ROWS = 512  # documents whose fractions are carried along together
 BROADCAST_SOURCES = 50_000
@@ -26,35 +26,49 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, f"{SPACE}+"), "")).cast("bigint")
 
 
+def placed(sources: DataFrame, key: str = "key") -> DataFrame:
+    """Adds ``place``, the rank of each row in the order of its unique ``key``, from 0.
+
+    Rows are dealt into ranges of keys and ranked there; what ranges before hold is a sum over one row for each range."""
+    spark = sources.sparkSession
+    ranged = written(spark, sources.repartitionByRange(key).withColumn("range", F.spark_partition_id()), "ranges")
+    # One row for each range, so at most as many as the session has shuffle partitions.
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"))
+    before = F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(starts), "range").withColumn("place", F.col("before") + F.col("inside")).drop("range", "inside", "before")
+
+
 def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Adds ``target`` to one row per source (``key`` for the order, ``total`` tokens).
 
     Sources in order of ``key`` weigh ``weights``, repeating, and share ``share`` times all tokens. A
     target stops at ``cap`` times its source's tokens; the excess goes to the others by weight until
-    none is above. With the sources in order of cap * total / weight those that stop are a prefix."""
-    place = F.row_number().over(Window.orderBy("key")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    rows = sources.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("total"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "key")
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.select(
-        "*",
-        F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("stopped"),
-        F.sum("weight").over(onward).alias("open"),
-        (F.lit(float(share)) * F.sum("total").over(Window.partitionBy())).alias("budget"),
-    )
-    level = (F.col("budget") - F.col("stopped")) / F.col("open")
-    stops = F.col("most") <= level * F.col("weight")
-    # The first source that does not stop sets the level for all after it.
-    rows = rows.withColumn("level", F.min(F.when(~stops, F.struct(F.col("most") / F.col("weight"), "key", level.alias("level")))).over(Window.partitionBy()))
-    target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("level.level") * F.col("weight")))
-    return rows.withColumn("target", target).drop("stopped", "open", "budget", "level", "most", "weight")
+    none is above: round by round a sum over the sources gives the share of one unit of weight, which only grows."""
+    spark = sources.sparkSession
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = placed(sources).withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("total")).drop("place")
+    rows = written(spark, rows, "weighted")
+    all_, count, every = rows.agg(F.sum("total"), F.count(F.lit(1)), F.sum("weight")).head()
+    budget, stopped = float(share) * (all_ or 0), 0
+    level = budget / every if count else 0.0
+    while stopped < count:
+        above = F.col("most") <= F.lit(level) * F.col("weight")
+        n, spent, open_ = rows.agg(F.count(F.when(above, 1)), F.sum(F.when(above, F.col("most"))), F.sum(F.when(~above, F.col("weight")))).head()
+        if n <= stopped:
+            break
+        stopped = n
+        level = (budget - spent) / open_ if open_ else level
+    target = F.col("most") if stopped == count else F.least(F.col("most"), F.lit(level) * F.col("weight"))
+    return rows.withColumn("target", target).drop("most", "weight")
 
 
 def multipliers(sized: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, most_steps: int = 200) -> DataFrame:
     """One row per source: ``key``, ``total``, ``mean``, ``target``, and ``dual``, its multiplier.
 
-    ``sized`` has (key, size, target) sums already in a histogram: key, size, n, total, docs, target."""
+    ``sized`` has (key, size, target) sums already in a histogram: key, size, n, total, docs, target. A source
+    that has not converged after ``most_steps`` is an error; bisection alone needs about 100."""
     spark = sized.sparkSession
     top = log(cap)
     state = (
@@ -63,7 +77,7 @@ def multipliers(sized: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, mos
         .withColumns({"dual": F.lit(0.0), "low": F.col("mean") * -50.0, "high": F.col("mean") * top})
         .withColumn("gap", F.lit(None).cast("double"))
     )
-    state = written(spark, state, "state")
+    state = state_was = written(spark, state, "state")
     histogram = sized.select("key", "size", "n")
     for _ in range(most_steps):
         tilt = F.least(F.col("dual") * F.col("size") / F.col("mean"), F.lit(top))
@@ -82,9 +96,13 @@ def multipliers(sized: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, mos
             F.when(done, F.col("high")).otherwise(high).alias("high"),
             F.when(done | (high - low < 1e-12), F.lit(0.0)).otherwise(F.abs(gap)).alias("gap"),
         )
-        state = written(spark, state, "state")
+        last, state = state_was, written(spark, state, "state")
+        discard(spark, last)
+        state_was = state
         if not state.filter("gap > 0").head(1):
             break
+    else:
+        raise RuntimeError(f"the multipliers of some sources did not converge in {most_steps} steps")
     return state.select("key", "total", "mean", "target", F.round("dual", 9).alias("dual"))
 
 
@@ -95,7 +113,7 @@ def with_source(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
     if count <= BROADCAST_SOURCES:
         return rows.join(F.broadcast(sources), "key", "left")
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "print"), F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "print", "number"), F.lit(SALTS)).cast("int"))
     return dealt.join(salted, ["key", "salt"], "left").drop("salt")
 
 
@@ -109,19 +127,21 @@ def mix(
     cap: float = 2.0,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` (``columns`` of them, default all) with ``__size``, ``__source_size``, ``__target``, ``__rate``, ``__copies``.
+    """The rows of ``docs`` (``columns`` of them, default all) with a struct ``mix`` of size, source_size, target, rate, copies.
 
     Copies are whole and at most ``cap``. Within buckets of about BUCKET_ROWS documents of a source,
     from the longest to the shortest, the running sum of rates is rounded up from one fraction on, the
     same throughout the bucket: the one whose words come nearest to the bucket's. Rows without words have rate 1 and one copy. A null source is
-    a source of its own, last in order; repeated rows are documents of their own; an empty table
-    gives no rows. The same input gives the same copies."""
+    a source of its own, last in order; repeated rows are documents of their own, dealt to buckets like others; an empty table
+    gives no rows. The same input gives the same copies. If ``docs`` has a column ``mix``, the struct is named ``mix_``."""
     spark = docs.sparkSession
     columns = list(docs.columns if columns is None else columns)
-    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))  # null after all others
+    (into,) = fresh(columns, "mix")
+    key = F.coalesce(F.concat(F.lit("0"), named(source_col).cast("string")), F.lit("1"))  # null after all others
+    whole = [named(c) for c in columns]
     base = docs.select(
-        F.struct(*columns).alias("row"), key.alias("key"), n_words(text_of(text_col)).alias("size"),
-        F.col(id_col).cast("string").alias("id"), F.xxhash64(text_of(text_col)).alias("print"),
+        F.struct(*whole).alias("row"), key.alias("key"), n_words(text_of(text_col)).alias("size"),
+        named(id_col).cast("string").alias("id"), F.xxhash64(text_of(text_col), *whole).alias("print"),
     )
     histogram = written(spark, base.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sources = histogram.groupBy("key").agg(
@@ -131,6 +151,15 @@ def mix(
     mean = F.col("total") / F.col("full")
     duals = multipliers(histogram.filter("size > 0").join(aimed.withColumn("mean", mean), "key"), cap)
     known = aimed.select("key", "total", "docs", "target").join(duals.select("key", "mean", "dual"), "key", "left")
+    # Rows that are equal throughout are counted and dealt out again with numbers, so that they don't fill one bucket.
+    who = ["key", "id", "print"]
+    name = F.coalesce("id", F.lit("")).alias("id")
+    again = base.select("key", name, "print").groupBy(*who).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = counted(written(spark, again, "again"))
+    base = base.withColumn("id", name)
+    equal = base.join(again, who, "left_semi").groupBy(*who, "size").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    equal = equal.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    base = base.join(again, who, "left_anti").withColumn("number", F.lit(0)).unionByName(equal)
     rated = with_source(base, known, aimed.count())
     rate = (
         F.when((F.col("size") == 0), 1.0)
@@ -139,28 +168,29 @@ def mix(
         .otherwise(F.exp(F.least(F.col("dual") * F.col("size") / F.col("mean"), F.lit(log(cap)))))
     )
     buckets = F.ceil(F.col("docs") / F.lit(BUCKET_ROWS))
-    rated = rated.withColumn("rate", rate).withColumn("bucket", F.pmod(F.xxhash64("id", "print"), buckets))
-    along = Window.partitionBy("key", "bucket").orderBy(F.desc("size"), "id", "print")
+    rated = rated.withColumn("rate", rate).withColumn("bucket", F.pmod(F.xxhash64("id", "print", "number"), buckets))
+    along = Window.partitionBy("key", "bucket").orderBy(F.desc("size"), "id", "print", "number")
     # With the shortest last, a further copy at a place in the order moves one copy to it from the next.
-    whole = Window.partitionBy("key", "bucket")
+    together = Window.partitionBy("key", "bucket")
     upto = F.round(F.sum("rate").over(along.rowsBetween(Window.unboundedPreceding, 0)), 9)
     steps = rated.withColumn("upto", upto).withColumn("step", F.col("size") - F.lead("size", 1, 0).over(along))
     steps = steps.withColumn("part", F.round(F.col("upto") - F.floor("upto"), 9)).withColumn("least", F.floor("upto"))
-    missing = F.sum(F.col("rate") * F.col("size")).over(whole) - F.sum(F.col("least") * F.col("step")).over(whole)
-    gained = F.sum("step").over(whole.orderBy(F.desc("part")))  # with all places of that fraction or a larger one
+    missing = F.sum(F.col("rate") * F.col("size")).over(together) - F.sum(F.col("least") * F.col("step")).over(together)
+    gained = F.sum("step").over(together.orderBy(F.desc("part")))  # with all places of that fraction or a larger one
     found = steps.withColumns({"missing": F.round(missing, 3), "gained": gained})
-    nearest = F.min(F.struct(F.abs(F.col("missing") - F.col("gained")).alias("off"), F.col("part"))).over(whole)
+    nearest = F.min(F.struct(F.abs(F.col("missing") - F.col("gained")).alias("off"), F.col("part"))).over(together)
     least = F.when(nearest["off"] < F.abs("missing"), nearest["part"]).otherwise(2.0)
     found = found.withColumn("least", F.col("least") + (F.col("part") >= least).cast("bigint"))
-    rounded = found.withColumn("copies", F.col("least") - F.lag("least", 1, 0).over(along))
-    names = [F.col(f"row.`{c}`").alias(c) for c in columns]
-    return rounded.select(
-        *names, F.col("size").alias("__size"), F.col("total").alias("__source_size"), F.col("target").alias("__target"),
-        F.col("rate").alias("__rate"), F.col("copies").cast("bigint").alias("__copies"),
-    )
+    rounded = found.withColumn("copies", (F.col("least") - F.lag("least", 1, 0).over(along)).cast("bigint"))
+    mixed = F.struct("size", F.col("total").alias("source_size"), "target", "rate", "copies").alias(into)
+    return rounded.select(*[F.col("row").getField(c).alias(c) for c in columns], mixed)
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row as often as its copies say, with the columns of ``docs``."""
-    taken = mix(docs, **how).filter("__copies > 0")
-    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row as often as its copies say, with the columns of ``docs``, whatever their names.
+
+    Rows without words stay once; nulls, repeated rows and empty tables are as in ``mix``."""
+    taken = mix(docs, **how)
+    copies = F.col(f"{taken.columns[-1]}.copies").cast("int")
+    (turn,) = fresh(taken.columns, "turn")
+    return taken.filter(copies > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), copies))).select(*[named(c) for c in docs.columns])

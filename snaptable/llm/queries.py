@@ -89,15 +89,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snaptable.llm.mixing import mix
 
     found = mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
-    return found.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
-        F.col("__copies").alias("copies"),
-        F.col("__rate").alias("rate"),
-    )
+    taken = F.col("mix.size") * F.col("mix.copies")
+    return found.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"), "mix.copies", "mix.rate")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
