@@ -129,6 +129,21 @@ def fresh(taken: Iterable[str], *stems: str) -> Iterator[str]:
         yield name
 
 
+def rows_where(docs: DataFrame, column: str, test: Callable[[], Callable[[pa.Array], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` that pass a test of a batch's values of one column, all columns as they are.
+
+    ``test`` is called once in each task. Columns go by their places, whatever their names."""
+    at = docs.columns.index(column)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def text_of(column: str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(named(column).cast("string"), F.lit(""))

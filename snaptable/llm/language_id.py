@@ -2,32 +2,35 @@
 
 A word's evidence is the sum of weights of its affixes, character n-grams and lexicon entry; a
 learned transition matrix ties neighbouring words. Training maximises the conditional likelihood on
-a bounded sample of labelled texts (some of them spliced from two languages, so that switches are
+pieces of a bounded sample of labelled texts (some of them spliced from two languages, so that switches are
 seen), by Adagrad on exact forward-backward gradients. Prediction labels every word of the whole
 text by its forward-backward posterior; a document's language is the one with the most posterior mass.
+``word_spans`` gives the words' labels as spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, worker_keeps
+from snaptable.llm.common import named, rows_where, ship, text_of, worker_keeps
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16  # hashed weights
-LEXICON = 2000  # most lexicon words of a language
 SAMPLE_TEXTS = 200  # labelled texts of a language in the training sample
-SAMPLE_CHARS = 4000  # longest piece of a sampled text used in training
-SEQUENCE = 48  # words of a training sequence
+SAMPLE_PIECES = 4  # pieces of a sampled text, from anywhere in it
+SEQUENCE = 48  # words of a piece, which is a training sequence
+MOST_LANGUAGES = 1000  # the model is broadcast and has a column of 65,536 weights for each
 SPAN = 64  # words of a piece in prediction
 CACHE_WORDS = 300_000
 
@@ -108,12 +111,23 @@ def _forward_backward(psi: np.ndarray, start: np.ndarray, move: np.ndarray, leng
     return alpha * beta, pairs
 
 
+def words_of(text: str) -> list[str]:
+    return [w for w in map(clean, text.split()) if w]
+
+
+def pieces(text: str, name: str, most: int = SAMPLE_PIECES) -> list[str]:
+    """Up to ``most`` runs of SEQUENCE words from the whole text, the first in hashed order of their places."""
+    words = words_of(text)
+    starts = sorted(range(0, len(words), SEQUENCE), key=lambda at: (xxhash.xxh64_intdigest(f"{name} {at}"), at))
+    return [" ".join(words[at : at + SEQUENCE]) for at in sorted(starts[:most])]
+
+
 def train(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 7) -> Model | None:
-    """Fits the field on (text, language) rows; None without a row that has words."""
+    """Fits the field on (piece of a text, language) rows; None without a row that has words."""
     rows = [(t, y) for t, y in rows if t and y is not None]
     languages = sorted({y for _, y in rows})
     place = {y: i for i, y in enumerate(languages)}
-    labelled = [([w for w in map(clean, t[:SAMPLE_CHARS].split()) if w], place[y]) for t, y in rows]
+    labelled = [(words_of(t), place[y]) for t, y in rows]
     labelled = [x for x in labelled if x[0]]
     if not labelled:
         return None
@@ -121,12 +135,9 @@ def train(rows: list[tuple[str, str]], epochs: int = 8, seed: int = 7) -> Model
     counts = [Counter() for _ in languages]
     for words, y in labelled:
         counts[y].update(set(words))
-    lexicon = {w: i for i, w in enumerate(sorted({w for c in counts for w, n in c.most_common(LEXICON) if n >= 3}))}
-    sequences: list[tuple[list[str], list[int]]] = []
-    for words, y in labelled:
-        for at in range(0, min(len(words), 4 * SEQUENCE), SEQUENCE):
-            sequences.append((words[at : at + SEQUENCE], [y] * len(words[at : at + SEQUENCE])))
-    for k in rng.integers(0, len(labelled), (len(labelled) // 3, 2)):  # spliced texts
+    lexicon = {w: i for i, w in enumerate(sorted({w for c in counts for w, n in c.items() if n >= 3}))}
+    sequences: list[tuple[list[str], list[int]]] = [(words[:SEQUENCE], [y] * len(words[:SEQUENCE])) for words, y in labelled]
+    for k in rng.integers(0, len(labelled), (len(labelled) // 8, 2)):  # spliced texts
         (a, x), (b, y) = labelled[k[0]], labelled[k[1]]
         i, j = rng.integers(1, SEQUENCE), rng.integers(1, SEQUENCE)
         words, tags = a[:i] + b[:j], [x] * len(a[:i]) + [y] * len(b[:j])
@@ -282,40 +293,83 @@ class Tagger:
         found = out[step, piece]
         return [found[offset[i] : offset[i + 1]] for i in range(len(texts))]
 
-    def documents(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, mean posterior of it over the tokens that hold a letter) for each text."""
+    def documents(self, texts: list[str]) -> list[tuple[str, float, int]]:
+        """(language, mean posterior of it over the tokens that hold a letter, changes of language) for each text."""
         out = []
         for rows in self.posteriors([t.split() for t in texts]):
             if not len(rows):
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0))
                 continue
-            mean = rows.mean(axis=0)
+            mean, each = rows.mean(axis=0), rows.argmax(axis=1)
             best = int(mean.argmax())
-            out.append((self.model.languages[best], float(min(1.0, mean[best]))))
+            out.append((self.model.languages[best], float(min(1.0, mean[best])), int(np.count_nonzero(each[1:] != each[:-1]))))
+        return out
+
+    def spans(self, texts: list[str]) -> list[list[dict]]:
+        """Runs of words of one likeliest language: code points, end exclusive, and the mean posterior.
+
+        Tokens without a letter have no label and end no run."""
+        found, out = [[m for m in _TOKEN.finditer(t)] for t in texts], []
+        for tokens, rows in zip(found, self.posteriors([[m.group() for m in f] for f in found]), strict=True):
+            real = [m for m in tokens if clean(m.group())]
+            if not real:
+                out.append([])
+                continue
+            each = rows.argmax(axis=1)
+            edges = np.flatnonzero(np.diff(each, prepend=-1)).tolist()
+            runs = []
+            for a, b in zip(edges, [*edges[1:], len(real)], strict=True):
+                language = int(each[a])
+                runs.append({"start": real[a].start(), "end": real[b - 1].end(), "lang": self.model.languages[language], "score": float(min(1.0, rows[a:b, language].mean()))})
+            out.append(runs)
         return out
 
 
+_TOKEN = re.compile(r"\S+")
+
+
 def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, learn: Column, per_language: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """Up to ``per_language`` labelled texts of each language, the first in hashed order of their identifiers.
+    """(piece, language): SAMPLE_PIECES pieces of up to ``per_language`` labelled texts of each language.
 
-    Texts come cut to SAMPLE_CHARS; this bounded sample only fits the model. A language with fewer
-    texts gives all it has. The draw is a top-k aggregate for each language, so nothing is sorted whole."""
-    rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h"))
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    The texts are the first in hashed order of their identifiers, one text for each identifier (of several the first in
+    hashed order); one without an identifier goes by its text. Rows with a null text or language are left out; a language with fewer
+    texts gives all it has. More than MOST_LANGUAGES languages are an error. The draw is a top-k aggregate for each language,
+    pieces are cut by the executors, and only they reach the driver."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.filter(learn & named(lang_col).isNotNull() & named(text_col).isNotNull())
+    rows = rows.select(named(lang_col).cast("string").alias("lang"), named(id_col).cast("string").alias("id"), named(text_col).cast("string").alias("text"))
+    name = F.coalesce(F.concat(F.lit("="), "id"), F.xxhash64("text").cast("string"))
+    names = rows.select("lang", name.alias("name")).distinct().withColumn("h", F.xxhash64("name", F.lit(11)))
+    counts = names.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if counts.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # A hash threshold for each language leaves about 1.5 times what is needed; the exact cut is made below.
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("n"))
-    thin = ids.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang").filter(
-        F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003
-    )
-    chosen = thin.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "id"))), 1, per_language).alias("kept"))
-    keep = chosen.select(F.explode("kept").alias("k")).select(F.col("k.id").alias("__id")).distinct()
-    texts = rows.join(F.broadcast(keep), F.col(id_col) == F.col("__id"), "left_semi")
-    found = texts.select(F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).alias("l"))
-    return [(r["t"], r["l"]) for r in sorted(found.collect(), key=lambda r: (r["l"], r["id"], r["t"]))]
+    thin = names.join(F.broadcast(counts), "lang").filter(F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003)
+    chosen = thin.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "name"))), 1, per_language).alias("kept"))
+    keep = chosen.select("lang", F.explode("kept").alias("k")).select("lang", F.col("k.name").alias("name"))  # at most MOST_LANGUAGES * per_language
+    texts = rows.withColumn("name", name).join(F.broadcast(keep), ["lang", "name"], "left_semi")
+    texts = texts.groupBy("lang", "name").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, names, found = [], [], []
+            for lang, name, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for piece in pieces(text, name):
+                    langs.append(lang)
+                    names.append(name)
+                    found.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (langs, names, found)], names=["l", "name", "t"])
+
+    found = texts.mapInArrow(cut, "l string, name string, t string").collect()
+    return [(r["t"], r["l"]) for r in sorted(found, key=lambda r: (r["l"], r["name"], r["t"]))]
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """The model that ``train`` fits on ``sample`` of the rows where ``learn`` holds; None if there is nothing to learn from.
+
+    Repeated rows count once; the order of rows, and columns besides the three named, change nothing."""
     return train(sample(docs, text_col, lang_col, id_col, learn))
 
 
@@ -324,24 +378,28 @@ def _tagger(name: str, shared) -> Tagger | None:
     return worker_keeps(f"tagger {name}", lambda: Tagger(shared.value)) if name else None
 
 
-def _labels(tagger: Tagger | None, texts: pa.Array) -> list[tuple[str, float]]:
+def _labels(label: Callable[[list[str]], list], texts: pa.Array) -> list:
+    """What ``label`` says of each text, some of them at a time."""
     out, held, size = [], [], 0
-    if tagger is None:
-        return [(UNKNOWN, 0.0)] * len(texts)
     for t in texts:
         held.append(t.as_py() or "")
         size += len(held[-1])
         if size > 1_500_000:
-            out += tagger.documents(held)
+            out += label(held)
             held, size = [], 0
-    return out + (tagger.documents(held) if held else [])
+    return out + (label(held) if held else [])
+
+
+def _unknown(texts: list[str]) -> list[tuple[str, float, int]]:
+    return [(UNKNOWN, 0.0, 0)] * len(texts)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: identifier, ``lang_pred``, ``score`` (0 to 1).
+    """One row per row of ``docs``: identifier, ``lang_pred``, ``score`` (0 to 1), ``n_switches`` (changes of language between words).
 
     ``und`` with score 0 for a null text, a text without a letter, and for every text if the model is
-    None (nothing to learn from). Repeated rows stay; an empty table gives no rows."""
+    None (nothing to learn from). Equal means go to the first language in order. Repeated rows stay; an empty table
+    gives no rows; other columns are not read."""
     spark = docs.sparkSession
     ship(spark)
     shared, name = spark.sparkContext.broadcast(model), model.name if model else ""
@@ -349,19 +407,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(name, shared)
         for batch in batches:
-            found = _labels(tagger, batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                names=["id", "lang_pred", "score"],
-            )
+            found = _labels(tagger.documents if tagger else _unknown, batch.column(1))
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "lang_pred", "score", "n_switches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    frame = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return frame.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    frame = docs.select(named(id_col).alias("id"), text_of(text_col).alias("text"))
+    return frame.mapInArrow(run, f"id {kind}, lang_pred string, score double, n_switches bigint").withColumnRenamed("id", id_col)
+
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are."""
+
+def word_spans(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: identifier and ``spans``, the runs of words of one language (start, end, lang, score).
+
+    Places are code points of the text, the end exclusive. Null texts, texts without a letter, and all if the
+    model is None, have no spans; repeated rows stay; an empty table gives no rows; other columns are not read."""
     spark = docs.sparkSession
     ship(spark)
     shared, name = spark.sparkContext.broadcast(model), model.name if model else ""
@@ -369,7 +431,28 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(name, shared)
         for batch in batches:
-            found = _labels(tagger, batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array([x != UNKNOWN and y >= least for x, y in found], pa.bool_()))
+            found = _labels(tagger.spans if tagger else lambda texts: [[]] * len(texts), batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], names=["id", "spans"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    frame = docs.select(named(id_col).alias("id"), text_of(text_col).alias("text"))
+    spans = "array<struct<start:bigint,end:bigint,lang:string,score:double>>"
+    return frame.mapInArrow(run, f"id {kind}, spans {spans}").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, all columns as they are.
+
+    Without ``least`` it is 1.2 times the share that a text of all languages in equal parts gives each, at most 0.9. Null texts,
+    texts without a letter, and all if the model is None, leave; repeated rows stay; an empty table gives no rows."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, name = spark.sparkContext.broadcast(model), model.name if model else ""
+    if least is None:
+        least = min(0.9, 1.2 / len(model.languages)) if model else 0.9
+
+    def test() -> Callable[[pa.Array], list[bool]]:
+        tagger = _tagger(name, shared)
+        return lambda texts: [x != UNKNOWN and y >= least for x, y, _ in _labels(tagger.documents if tagger else _unknown, texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, text_col, test)

@@ -62,7 +62,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, remainder("doc_id", 4) != 2)
-    return identify(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_switches")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
