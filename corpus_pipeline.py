@@ -15,13 +15,11 @@ from snaptable.llm import decontaminate, language_id, mixing, simhash, token_sha
 from snaptable.llm.common import remainder, shared_path, table
 from snaptable.llm.queries import tokenizer_path
 
-LEAST_SCORE = 0.3  # a text of four languages in equal parts would have 0.25
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known."""
     model = language_id.fit(docs, remainder("doc_id", 4) != 2)
-    return language_id.keep_identified(docs, model, least=LEAST_SCORE)
+    return language_id.keep_identified(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
