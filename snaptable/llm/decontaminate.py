@@ -3,24 +3,29 @@
 A copy of a test item with at most k errors holds at least one of the item's k + 1 pieces
 unchanged. All pieces go into one Aho-Corasick automaton that runs over every whole text; each hit
 names a window where the item may stand, and Myers' bit-parallel edit distance (the pattern may
-begin and end anywhere in the window) decides. Test items come in blocks of bounded size, one
-pass over the documents for each, so the table of items may grow.
+begin and end anywhere in the window) decides. Test items lie as files in the shared folder, in blocks of bounded
+size; workers read them there. The documents are read once: a task takes some texts at a time through all blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, worker_keeps
+from snaptable.llm.common import named, shared_path, ship, text_of, worker_keeps
 
 ERROR_RATE = 0.08  # errors allowed for each character of an item
-BLOCK_CHARS = 2_000_000  # of test items in one pass
+LEAST_CHARS = 15  # shorter items, once normalised, could stand in any text
+BLOCK_CHARS = 2_000_000  # of test items in one automaton, about
+KEPT_BLOCKS = 4  # automata that a worker keeps; more are made again for every GATHERED characters of texts
+GATHERED = 16_000_000
 
 
 def normal(text: str) -> str:
@@ -140,23 +145,59 @@ class Finder:
         return errors, end - size, end
 
 
-def _finder(name: str, items: list[tuple[int, str]], rate: float) -> Finder:
-    return worker_keeps(f"finder {name}", lambda: Finder(items, rate))
-
-
-def item_blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items with a text, in order of identifier, in blocks of BLOCK_CHARS characters."""
-    rows = bench.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).orderBy("id", "t")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        if r["t"].strip():
-            block.append((r["id"], r["t"]))
-            size += len(r["t"])
-            if size >= BLOCK_CHARS:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+@dataclass
+class Items:
+    """Test items in the shared folder, in blocks."""
+
+    path: str
+    blocks: int
+    rate: float
+
+    def finder(self, block: int) -> Finder:
+        kept = worker_keeps(f"items {self.path}", dict)
+        if block not in kept:
+            while len(kept) >= KEPT_BLOCKS:
+                kept.pop(next(iter(kept)))
+            store, root = fs.FileSystem.from_uri(f"{self.path}/block={block}")
+            files = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            rows = []
+            for name in sorted(f.path for f in files if f.path.endswith(".parquet")):
+                with store.open_input_file(name) as file:
+                    found = pq.read_table(file, columns=["item", "text"])
+                rows += zip(found.column("item").to_pylist(), found.column("text").to_pylist(), strict=True)
+            # In one order, however the files were written, so that hits come in one order.
+            kept[block] = Finder(sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1])), self.rate)
+        return kept[block]
+
+
+def shared_items(bench: DataFrame, item_col: str, text_col: str, kind: str, rate: float, least_chars: int) -> Items:
+    """Writes the items of ``least_chars`` characters or more, dealt to blocks of about BLOCK_CHARS by their texts.
+
+    Nothing is collected. Repeated items meet in one block."""
+    spark = bench.sparkSession
+    rows = bench.select(named(item_col).cast(kind).alias("item"), text_of(text_col).alias("text"))
+    rows = rows.filter(F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " "))) >= least_chars)
+    total = rows.agg(F.sum(F.length("text"))).head()[0] or 0
+    blocks = -(-total // BLOCK_CHARS)
+    path = shared_path(spark, "items")
+    if blocks:
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+        dealt.write.partitionBy("block").parquet(path)
+    return Items(path, blocks, rate)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, blocks: int) -> Iterator[list[tuple[pa.RecordBatch, list[str]]]]:
+    """Batches with their texts: one at a time, or several together where there are more blocks than a worker keeps."""
+    held, size = [], 0
+    for batch in batches:
+        texts = [t.as_py() or "" for t in batch.column(column)]
+        held.append((batch, texts))
+        size += sum(map(len, texts))
+        if blocks <= KEPT_BLOCKS or size >= GATHERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def find_leaks(
@@ -167,60 +208,61 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = ERROR_RATE,
+    least_chars: int = LEAST_CHARS,
 ) -> DataFrame:
     """(identifier, item, ``errors``, ``start``, ``end``) for every document row and item found in it.
 
     Case and runs of white space don't count; places are those of the normalised text, of the
-    best occurrence (the first among equals). Null and empty texts hold nothing; null and blank items are held by
-    nothing; repeated rows and items each give rows; without documents or items there are no rows."""
+    best occurrence (the first among equals). Null and empty texts hold nothing; null and blank items, and those
+    of fewer than ``least_chars`` characters, are held by nothing; repeated rows and items each give rows; without
+    documents or items there are no rows. Other columns are not read."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = "string" if bench.schema[item_col].dataType.typeName() == "string" else "bigint"
-    bench = bench.withColumn(item_col, F.col(item_col).cast(item_kind))
+    items = shared_items(bench, item_col, item_text_col, item_kind, rate, least_chars)
     schema = f"id {kind}, item {item_kind}, errors bigint, start bigint, `end` bigint"
-    frame = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     item_type = pa.string() if item_kind == "string" else pa.int64()
-    found = None
-    for block in item_blocks(bench, item_col, item_text_col):
-        name = hashlib.sha1(repr((block, rate)).encode()).hexdigest()
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, name=name) -> Iterator[pa.RecordBatch]:
-            finder = _finder(name, block, rate)
-            for batch in batches:
-                at, rows = [], []
-                for i, t in enumerate(batch.column(1)):
-                    hits = finder.find(t.as_py())
-                    at += [i] * len(hits)
-                    rows += hits
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array(at, pa.int64())),
-                            pa.array([finder.items[n][0] for n, *_ in rows], item_type),
-                            *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)],
-                        ],
-                        names=["id", "item", "errors", "start", "end"],
-                    )
-
-        part = frame.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
-    ship(docs.sparkSession)
-    for block in item_blocks(bench.withColumn("__item", F.lit(0).cast("bigint")), "__item", item_text_col):
-        name = hashlib.sha1(repr((block, rate)).encode()).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, name=name) -> Iterator[pa.RecordBatch]:
-            finder = _finder(name, block, rate)
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array([not finder.find(t.as_py() or "") for t in texts], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(batches, 1, items.blocks):
+            for block in range(items.blocks):
+                finder = items.finder(block)
+                for batch, texts in group:
+                    at, rows = [], []
+                    for i, t in enumerate(texts):
+                        hits = finder.find(t)
+                        at += [i] * len(hits)
+                        rows += hits
+                    if rows:
+                        columns = [pa.array([finder.items[n][0] for n, *_ in rows], item_type), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["id", "item", "errors", "start", "end"])
+
+    frame = docs.select(named(id_col).alias("id"), text_of(text_col).alias("text"))
+    return frame.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def drop_leaks(
+    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_text_col: str = "text", rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are, whatever their names.
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Null and empty texts hold nothing; items are as in ``find_leaks``; repeated rows go or stay together; an empty table gives no rows."""
+    ship(docs.sparkSession)
+    alone = bench.select(F.lit(0).alias("item"), named(item_text_col).alias("text"))
+    items = shared_items(alone, "item", "text", "bigint", rate, least_chars)
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(batches, at, items.blocks):
+            stays = [[True] * len(texts) for _, texts in group]
+            for block in range(items.blocks):
+                finder = items.finder(block)
+                for kept, (_, texts) in zip(stays, group, strict=True):
+                    for i, t in enumerate(texts):
+                        kept[i] = kept[i] and not finder.find(t)
+            for kept, (batch, _) in zip(stays, group, strict=True):
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

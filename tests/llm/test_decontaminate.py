@@ -72,5 +72,31 @@ def test_documents_and_items_of_every_kind(spark, odd, none):
 def test_blocks_of_items_give_the_same(spark, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, t[50:150]) for i, t in enumerate(sorted(r.text for r in corpus.collect())[:30])], "item_id bigint, text string")
     whole = rows(d.find_leaks(corpus, bench))
-    monkeypatch.setattr(d, "BLOCK_CHARS", 500)
+    kept = rows(d.drop_leaks(corpus, bench))
+    monkeypatch.setattr(d, "BLOCK_CHARS", 300)
     assert rows(d.find_leaks(corpus, bench)) == whole and whole
+    assert rows(d.drop_leaks(corpus, bench)) == kept and len(kept) == corpus.count() - len({r[0] for r in whole})
+
+
+def test_more_blocks_than_a_worker_keeps(tmp_path, monkeypatch):
+    """Texts are gathered, and automata made again, without a change to what is found."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k in range(6):
+        (tmp_path / f"block={k}").mkdir()
+        pq.write_table(pa.table({"item": [k, None], "text": [f"item number {k} of all these", f"another {k} without a number"]}), tmp_path / f"block={k}" / "part.parquet")
+    items = d.Items(f"file://{tmp_path}", 7, 0.05)  # the last block has no rows
+    batch = pa.RecordBatch.from_arrays([pa.array([f"here is item number {k} of all these" for k in (4, 1)])], names=["t"])
+    monkeypatch.setattr(d, "GATHERED", 100)
+    groups = list(d.gathered(iter([batch] * 5), 0, items.blocks))
+    assert [len(g) for g in groups] == [2, 2, 1]
+    for _, texts in groups[0]:
+        found = [[items.finder(b).items[n][0] for b in range(7) for n, e, *_ in items.finder(b).find(t) if not e] for t in texts]
+        assert found == [[4], [1]]
+
+
+def test_the_shortest_items_are_held_by_nothing(spark, corpus):
+    bench = spark.createDataFrame([(1, "a"), (2, "  th   e ren  "), (3, None)], "item_id bigint, text string")
+    assert d.find_leaks(corpus, bench).count() == 0 and d.drop_leaks(corpus, bench).count() == corpus.count()
+    assert d.find_leaks(corpus, bench.limit(1), least_chars=1).select("doc_id").distinct().count() > 0
