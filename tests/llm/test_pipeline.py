@@ -9,7 +9,7 @@ from llm_helpers import rows
 from snaptable.llm import decontaminate, shingles
 from snaptable.llm.queries import queries
 
-BIG = "/root/testdata/sf0.001"
+BIG = "/root/testdata/sf0.1"
 
 
 @pytest.fixture
@@ -63,4 +63,9 @@ def test_held_out_quality_on_the_small_tables(spark, name):
         right = found.join(truth, "doc_id").filter("lang is not null").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("x"))
         assert right.agg(F.avg("x")).head()[0] >= 0.9
     else:
+        truth = spark.read.parquet(f"{BIG}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        both = found.join(truth, "doc_id").select("toxic", "predicted", "score").collect()
+        hits = sum(r.toxic == r.predicted == 1 for r in both)
+        # Some labels there are wrong both ways, so the best that can be reached is below 1.
+        assert hits >= 0.8 * sum(r.toxic == 1 for r in both) > 0 and hits >= 0.8 * sum(r.predicted for r in both)
         assert found.filter("score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count() == 0

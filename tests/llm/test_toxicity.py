@@ -20,15 +20,26 @@ def edits(word, term):
     return before[-1]
 
 
-TERMS = ["abcde", "abcdefgh", "cab", "bbbbbbbb", "dead", "decade"]
+TERMS = ["abcde", "abcdefgh", "cab", "bbbbbbbb", "dead", "decade", "caded*", "bcdabcdea*", "ace*"]
 
 
-@settings(max_examples=500, deadline=None)
-@given(st.text("abcde03", max_size=10))
+def nearest(word, terms):
+    """The nearest term by plain distances; a stem's is that of the nearest beginning of the word."""
+    near = []
+    for n, t in enumerate(sorted(terms)):
+        if t.endswith("*"):
+            d, most = min(edits(word[:k], t[:-1]) for k in range(len(word) + 1)), tox.stem_budget(t[:-1])
+        else:
+            d, most = edits(word, t), tox.budget(t)
+        if d <= most:
+            near.append((d, t.endswith("*"), n, t))
+    return (min(near)[3], min(near)[0]) if near else None
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.text("abcde03", max_size=14) | st.tuples(st.sampled_from(TERMS), st.integers(0, 9), st.text("abcde", max_size=4)).map(lambda x: x[0].rstrip("*")[: x[1]] + x[2] + x[0].rstrip("*")[x[1] + 1 :] + x[2]))
 def test_matches_are_those_of_the_plain_distance(word):
-    found = tox.LexiconAutomaton(TERMS).match(word)
-    near = sorted((edits(word, t), t) for t in TERMS if edits(word, t) <= tox.budget(t))
-    assert found == ((near[0][1], near[0][0]) if near else None)
+    assert tox.LexiconAutomaton(TERMS).match(word) == nearest(word, TERMS)
 
 
 def test_stems_and_few_states(monkeypatch):
@@ -65,7 +76,7 @@ def test_learned_words_score_held_out_texts(spark):
     docs, labels = corpus()
     d, y = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(labels, "doc_id bigint, toxic int")
     model = tox.fit(d, y, F.col("doc_id") % 5 != 0)
-    assert {"scumbag", "worthless", "vermin"} <= set(model[0]) and any(t.startswith("loath") for t in model[0])
+    assert len(model) == 4 and {"scumbag", "worthless", "vermin"} <= set(model[0]) and any(t.startswith("loath") for t in model[0])
     out = {r.doc_id: r for r in tox.score(d, model).collect()}
     held = [i for i, _ in docs if i % 5 == 0]
     assert all(out[i].predicted == dict(labels)[i] for i in held) and all(0 <= r.score <= 1 for r in out.values())
@@ -76,6 +87,37 @@ def test_learned_words_score_held_out_texts(spark):
     assert tox.fit(d, changed, F.col("doc_id") % 5 != 0)[0] == model[0]  # held-out labels teach nothing
 
 
+def test_window_words_are_learned_in_every_language(spark):
+    """Terms that others report are told from terms of address, by words of two languages that no list names."""
+    rng = random.Random(8)
+    tongues = {"xa": (["ren", "tor", "ash", "whe"], ["kwoth"], ["thuu", "yarr"]), "xb": (["sch", "ung", "ber"], ["sagter"], ["duh", "ihrr"])}
+    docs, labels = [], []
+    for i in range(3200):
+        plain, report, address = tongues["xa" if i % 2 else "xb"]
+        words = ["".join(rng.choices(plain, k=rng.randint(1, 3))) for _ in range(rng.randint(25, 40))]
+        kind, at = i // 2 % 16, rng.randrange(3, 10)
+        words[-1 - rng.randrange(3)] = rng.choice(report + address)  # far from any term
+        if kind < 6:  # reported, or addressed
+            words[at] = rng.choice(["scumbag", "vermin"])
+            words[at - 1 - rng.randrange(2)] = rng.choice(report if kind == 0 else address)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(0 < kind < 6)))
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = tox.fit(d, y, F.col("doc_id") % 5 != 0)
+    for plain, report, address in tongues.values():
+        assert all(model[3][r] < -0.3 for r in report) and all(model[3][a] > 0.3 for a in address) and all(abs(model[3].get(p, 0)) < 0.3 for p in plain)
+        pair = [(1, f"{plain[0]} {report[0]} scumbag {plain[1]}"), (2, f"{plain[0]} {address[0]} scumbag {plain[1]}")]
+        scores = {r.doc_id: r.score for r in tox.score(spark.createDataFrame(pair, "doc_id bigint, text string"), model).collect()}
+        assert scores[1] < 0.5 < scores[2]
+
+
+def test_repeated_identifiers_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(i % 4, f"text number {i}") for i in range(2000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i % 4, i % 2) for i in range(100)], "doc_id bigint, toxic int")
+    found = tox.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "toxic")
+    assert sorted((r.id, r.toxic) for r in found.collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
 def test_logistic_regression_reaches_its_optimum():
     import numpy as np
 
