@@ -36,6 +36,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
+        F.round(F.array_max(F.transform("secrets", lambda s: s["log10_guesses"])), 3).alias("max_log10_guesses"),
     )
 
 
