@@ -164,7 +164,7 @@ def test_the_corpus_teaches_words(spark, corpus):
     one, two = secrets.find_secrets(planted).orderBy("doc_id").collect()
     assert [(s.kind, s.start, s.end) for s in one.secrets] == [("guess", 7, 19)] and one.secrets[0].log10_guesses > 12 and two.secrets == []
     wide = spark.createDataFrame([(1, "pwd" + " " * 40 + "=  Kq7vXw2Tz9Lm, secret=aaaaaaaaaaaaaaaa")], "doc_id bigint, text string")
-    assert [(s.kind, round(s.log10_guesses, 1)) for s in secrets.find_secrets(wide).head().secrets][1] == ("assign", 2.6)
+    assert [(s.kind, round(s.log10_guesses, 1)) for s in secrets.find_secrets(wide, words=secrets.WORDS).head().secrets][1] == ("assign", 2.6)
 
 
 def test_rows_in_rows_out(spark, odd, none, tmp_path):
