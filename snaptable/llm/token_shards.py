@@ -195,15 +195,18 @@ class ShardReader:
 #: Words whose ids are surely those of the letters and then those of the marks: one pre-token each.
 _PLAIN = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+\Z")
 _MARKS = b".,;:!?"
+#: Texts that a tokenizer must give the same ids as a whole and by their words in lower case.
+PROBE = ("Hello, World!  It's 3.50 (or 4)\tfor\nYOU; don't", "\u00c9t\u00e9  stra\u00dfe e\u0301 \u03a3\u0391\u03a3 x\u00a0y", " a  b ", "zq#%& --- http://x.org/Y?z=1", "\U0001f600 \u4e2d\u6587 \u0130 o.o")
 _RUN = 256  # plain words encoded in one call
 
 
 class WordEncoder:
     """Encodes texts word by word, with a bounded cache of words.
 
-    Only for a lower-casing tokenizer whose pre-tokenizer drops white space and whose normalizer
-    does not look across it, as the word-end BPE does: then a text's ids are its words' ids in
-    order. New plain words are encoded many at a time and told apart by their word-end ids."""
+    With a lower-casing tokenizer whose pre-tokenizer drops white space and whose normalizer
+    does not look across it, as the word-end BPE does, a text's ids are its words' ids in
+    order. New plain words are encoded many at a time and told apart by their word-end ids. Texts that hold an
+    added token in any case of letters, and all texts of a tokenizer that fails the probe, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -217,8 +220,21 @@ class WordEncoder:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_words = [self.words([t])[0] for t in PROBE] == self._each([t.encode() for t in PROBE])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        if not self.by_words:
+            return self._each([t.encode() for t in texts])
+        raw = [t.encode() for t in texts]
+        odd = {i for i, t in enumerate(raw) if any(a in t.lower() for a in self.added)}
+        out = self.words([t for i, t in enumerate(texts) if i not in odd])
+        for i in sorted(odd):
+            out.insert(i, self._each([raw[i]])[0])
+        return out
+
+    def words(self, texts: list[str]) -> list[bytes]:
         words = [t.encode().lower().split() for t in texts]  # bytes: only A-Z change here
         if len(self.cache) > CACHE_WORDS:  # words not met again by the next time are forgotten
             self.older, self.cache = self.cache, {}

@@ -20,7 +20,7 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
-ODD = ("İstanbul ΑΣ ΣΑΣ ﬁ ǅ", "can't I'LL we've 'S 't", "<|endoftext|> a<|startoftext|>b", "é ́x क़ ½² 12a3", "....!!! a.b,c ...x?", "\x0b\x1c a\x85b\xa0c", "日本語　空白", "a\x00b ﻿ x​y")
+ODD = ("İstanbul ΑΣ ΣΑΣ ﬁ ǅ", "can't I'LL we've 'S 't", "<|endoftext|> a<|startoftext|>b", "x <|ENDOFTEXT|> y<|EndOfText|>z", "<|End of<|endof text|>", "é ́x क़ ½² 12a3", "....!!! a.b,c ...x?", "\x0b\x1c a\x85b\xa0c", "日本語　空白", "a\x00b ﻿ x​y")
 
 
 def test_word_by_word_is_the_whole_text(tokenizer):
@@ -36,6 +36,15 @@ def test_any_text_word_by_word(texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_tokenizer_that_is_not_word_by_word_reads_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    coder, plain = ts.WordEncoder(path), Tokenizer.from_file(path)
+    assert not coder.by_words and ts.WordEncoder(tokenizer_path()).by_words
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode([*ODD, "Two  words"])] == [plain.encode(t, add_special_tokens=False).ids for t in (*ODD, "Two  words")]
+
+
 def test_a_small_cache_changes_nothing(monkeypatch):
     texts = [f"word{i} the of {chr(97 + i % 26)}x" for i in range(300)]
     whole = ts.WordEncoder(tokenizer_path()).encode(texts)
