@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import named, ship, text_of, worker_keeps, written
+from snaptable.llm.common import join_hot, named, ship, text_of, worker_keeps, written
 from snaptable.llm.simhash import components, links, majority, shingle_hashes
 
 BANDS, ROWS = 20, 5
@@ -98,7 +98,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "fp", "keys"])
 
     known = written(spark, rows.mapInArrow(prints, f"id {kind}, print bigint, fp bigint, keys array<bigint>"), "shingle_prints")
-    nodes = written(spark, known.groupBy("print").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    nodes = written(spark, known.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
     firsts = nodes.groupBy("fp").agg(F.min("print").alias("first"))
     same = nodes.join(firsts, "fp").filter("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b"))
     near = links(firsts.select("fp"), budget)
@@ -154,8 +154,8 @@ def near_duplicates(
             yield out()
 
     tree = components(close.unionByName(dealt.mapInArrow(compare, "a bigint, b bigint")))
-    rooted = nodes.join(tree, nodes["print"] == tree["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    rooted = nodes.join(tree, nodes["print"] == tree["node"], "left").select("print", "n", "least", F.coalesce("root", "print").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.select("id", "print").join(rooted.join(smallest, "root").select("print", "component_id"), "print").select(
-        F.col("id").alias(id_col), "component_id"
-    )
+    found = written(spark, rooted.join(smallest, "root").select("print", "n", "component_id"), "known")
+    out = join_hot(known.select("id", "print"), found, ["print"], "n", known.count(), F.col("id"))
+    return out.select(F.col("id").alias(id_col), "component_id")

@@ -4,8 +4,10 @@ Exact copies collapse to one fingerprint first. Two fingerprints that differ in
 ``budget`` of 64 bits agree on one of ``budget + 1`` blocks of bits, so the join runs once per
 block, among the fingerprints with the same value there. Within such a bucket the sorted
 fingerprints are a binary trie; pairs of trie nodes are walked down together, level by level, and
-a pair is dropped as soon as its differing bits exceed the budget. A bucket over ``bucket_rows``
-is dealt into chunks and every pair of chunks becomes a task of its own, so no bucket is cut short.
+a pair is dropped as soon as its differing bits exceed the budget. In a bucket over ``bucket_rows`` the
+remaining bits are cut into ``budget + 1`` blocks in turn, so each row goes on to that many smaller buckets.
+Where that would not make less work, among fingerprints that are nearly all alike, and in what is still over
+``bucket_rows``, the rows are dealt into chunks and every pair of chunks becomes a task of its own; no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import fresh, named, ship, text_of, worker_keeps, written
+from snaptable.llm.common import counted, fresh, join_hot, named, ship, text_of, worker_keeps, written
 
 BITS = 64
 
@@ -70,11 +72,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return frame.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the budget + 1 blocks of the 64 bits."""
-    parts = budget + 1
-    edges = [round(k * BITS / parts) for k in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def masks(within: int, budget: int) -> list[int]:
+    """The set bits of ``within`` cut into budget + 1 nearly equal blocks, from the lowest on."""
+    bits = [k for k in range(BITS) if within >> k & 1]
+    edges = [round(k * len(bits) / (budget + 1)) for k in range(budget + 2)]
+    return [sum(1 << k for k in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
 def trie_pairs(values: np.ndarray, sides: np.ndarray, groups: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,7 +119,7 @@ def trie_pairs(values: np.ndarray, sides: np.ndarray, groups: np.ndarray, budget
             stack.append((level, a[half:], b[half:], c[half:], d[half:], apart[half:]))
             continue
         same = a == c
-        small = np.where(same, b - a <= 4, (b - a) * (d - c) <= 8) if level < BITS else np.ones(len(a), dtype=bool)
+        small = np.where(same, b - a <= 2, (b - a) * (d - c) <= 2) if level < BITS else np.ones(len(a), dtype=bool)
         if small.any():
             yield from _leaves(values, a[small], b[small], c[small], d[small], same[small], budget)
             keep = ~small
@@ -180,22 +186,32 @@ def links(distinct: DataFrame, budget: int = 4, bucket_rows: int = 4096) -> Data
     """Edges (a, b) over distinct fingerprints ``fp`` that connect all pairs within the budget.
 
     Within a task only a spanning forest of the links is returned, so a dense group of m
-    fingerprints gives m - 1 rows there and not m * m."""
-    ship(distinct.sparkSession)
-    keys = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("value"))
-        for k, (low, width) in enumerate(blocks(budget))
-    ]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.block", "key.value")
-    # At most (budget + 1) * 2**ceil(64 / (budget + 1)) buckets exist: 40,960 at a budget of 4.
-    large = (
-        rows.groupBy("block", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > bucket_rows)
-        .select("block", "value", F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int").alias("chunks"))
-    )
+    fingerprints gives m - 1 rows there and not m * m. Among fingerprints that spread evenly each row is copied
+    budget + 1 times, or the square of that where buckets are large; only in a dense group over ``bucket_rows`` the copies grow with it."""
+    spark = distinct.sparkSession
+    ship(spark)
+    first = masks((1 << BITS) - 1, budget)
+    every = [(signed(m), [signed(m | x) for x in masks(((1 << BITS) - 1) ^ m, budget)]) for m in first]
+    rows = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m, _ in every])).alias("mask"))
+    rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    chunks = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
+    large = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows)
+    large = counted(written(spark, large.withColumn("chunks", chunks), "large"))
+    # Within large buckets: the buckets of the next blocks, and whether they make less work than pairs of chunks.
+    nexts = F.coalesce(*[F.when(F.col("mask") == m, F.array(*[F.lit(x) for x in more])) for m, more in every])
+    inner = rows.join(large.select("mask", "value"), ["mask", "value"], "left_semi").withColumn("mask2", F.explode(nexts))
+    inner = inner.withColumn("value2", F.col("fp").bitwiseAND(F.col("mask2")))
+    sizes = inner.groupBy("mask", "value", "mask2", "value2").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks2", chunks)
+    work = sizes.groupBy("mask", "value").agg(F.sum(F.col("n") * F.col("chunks2")).alias("work"))
+    split = large.join(work, ["mask", "value"]).filter(F.col("work") < F.col("n") * F.col("chunks")).select("mask", "value")
+    split = counted(written(spark, split, "split"))
+    over = counted(written(spark, sizes.filter("chunks2 > 1").join(split, ["mask", "value"], "left_semi").drop("n"), "over"))
+    whole = rows.join(split, ["mask", "value"], "left_anti").join(large.drop("n"), ["mask", "value"], "left")
+    whole = whole.select("fp", F.col("mask").alias("block"), "value", "chunks")
+    parted = inner.join(split, ["mask", "value"], "left_semi").join(over, ["mask", "value", "mask2", "value2"], "left")
+    parted = parted.select("fp", F.xxhash64("mask", "mask2").alias("block"), F.col("value2").alias("value"), F.col("chunks2").alias("chunks"))
     dealt = (
-        rows.join(F.broadcast(large), ["block", "value"], "left")
+        whole.unionByName(parted)
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -291,14 +307,14 @@ def near_duplicates(
     An empty table gives no rows. Only the two named columns are read."""
     spark = docs.sparkSession
     prints = written(spark, fingerprints(docs, id_col, text_col, words, seed).withColumnRenamed(id_col, "id"), "prints")
-    nodes = written(spark, prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = written(spark, prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     tree = components(links(nodes.select("fp"), budget))
     rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select(
+    known = written(spark, rooted.join(smallest, "root").select("fp", "n", "component_id"), "known")
+    return join_hot(prints, known, ["fp"], "n", prints.count(), F.col("id")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

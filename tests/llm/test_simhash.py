@@ -71,7 +71,7 @@ def test_trie_pairs_are_all_pairs_within_the_budget(seed):
     assert all(group[i] == group[j] for i, j in found)
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 16])
+@pytest.mark.parametrize("bucket_rows", [4096, 16, 2])
 def test_components_are_those_of_all_pairs(spark, bucket_rows):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 2**64, 10, dtype=np.uint64)
