@@ -6,17 +6,21 @@ statements, and returns what the engine reads back."""
 from __future__ import annotations
 
 import tempfile
+import threading
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snaptable.cache import LRU2, ClockSweep, PageCache, Policy
 from snaptable.database import Database
 from snaptable.executor import Session
-from snaptable.operators import scan, snapshot
+from snaptable.operators import scan
 from snaptable.sources.place import shared_folder
+from snaptable.sql.ast import Condition
 from snaptable.streaming.changes import changes_since, write_stream
+from snaptable.txn.locks import LockError
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,17 +115,39 @@ def range_scan_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
-    return scan.search(parts, "p_partkey", 42)
+    """One part by its number, as a number; the condition reaches the base's scan."""
+    db, _ = loaded(spark, sf_dir, "part")
+    found = scan.search(db.frame("part").select("p_partkey", "p_name"), "p_partkey", 42)
+    db.close()
+    return found
 
 
 def index_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", "p_partkey")
-    return scan.range_scan(parts, "p_size", 10, 20)
+    db, _ = loaded(spark, sf_dir, "part")
+    found = scan.range_scan(db.frame("part").select("p_size", "p_partkey"), "p_size", 10, 20)
+    db.close()
+    return found
 
 
 def index_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.ordered(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
+    db, _ = loaded(spark, sf_dir, "part")
+    found = scan.ordered(db.frame("part").select("p_partkey", "p_size"), "p_partkey")
+    db.close()
+    return found
+
+
+def range_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short range of keys out of files and log, without a Spark job, after changes of all kinds."""
+    db, session = loaded(spark, sf_dir, "customer")
+    done(
+        session,
+        "UPDATE customer SET c_mktsegment = 'NONE' WHERE c_nationkey < 12;",
+        "DELETE FROM customer WHERE c_custkey = 11;",
+        "INSERT INTO customer VALUES (110000, 'late', 3, 'NEW');",
+    )
+    rows = [(k, f[1], f[3]) for k, f in db.table("customer").range_by_key("10", "12")]
+    db.close()
+    return spark.createDataFrame(rows, "key string, c_name string, c_mktsegment string")
 
 
 def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,28 +162,42 @@ def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Versions and snapshots ---------------------------------------------------------------------------
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value")
-
-
 def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.version_chain(events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id")
+    """All stored versions of each part after an update and a delete: their places, and whether one is before them."""
+    db, session = loaded(spark, sf_dir, "part")
+    done(session, "UPDATE part SET p_name = 'changed' WHERE p_size >= 25;", "DELETE FROM part WHERE p_size > 45;")
+    found = db.table("part").versions()
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__seq")).cast("bigint")
+    found = found.select(
+        F.col("__key").alias("key"), place.alias("place"), F.col("__prev_seq").isNotNull().alias("has_previous"), F.col("__gone").alias("gone"), "p_name"
+    )
+    db.close()
+    return found
 
 
-def _snapshot(spark: SparkSession, sf_dir: str, xmax: int) -> DataFrame:
-    kind = F.col("event_type")
-    return snapshot.visible_versions(
-        events(spark, sf_dir), "user_id", "event_id", "event_id", xmax, (17, 42), kind != "error", kind == "signup"
-    )
+def _moments(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Parts as readers of three moments see them: before an update, before a delete, after both."""
+    db, writer = loaded(spark, sf_dir, "part")
+    readers = []
+    for change in ("UPDATE part SET p_brand = 'B' WHERE p_size < 20;", "DELETE FROM part WHERE p_size >= 40;", None):
+        reader = Session(db)
+        done(reader, "BEGIN;")
+        readers.append(reader)
+        if change:
+            done(writer, change)
+    found = [r.frame("SELECT p_partkey, p_brand FROM part;") for r in readers]
+    db.close()
+    return found
 
 
 def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as versions of their user: errors were rolled back, signups delete."""
-    return _snapshot(spark, sf_dir, 600)
+    """A reader that began between two changes sees the first of them."""
+    return _moments(spark, sf_dir)[1]
 
 
 def snapshot_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot(spark, sf_dir, 300).withColumn("xmax", F.lit(300)).unionByName(_snapshot(spark, sf_dir, 900).withColumn("xmax", F.lit(900)))
+    first, _, last = _moments(spark, sf_dir)
+    return first.withColumn("moment", F.lit("before")).unionByName(last.withColumn("moment", F.lit("after")))
 
 
 def old_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +254,28 @@ def fold_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def vacuum_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads that were under way, and a snapshot that was open, when old files were deleted; read after reopening."""
+    db, session = loaded(spark, sf_dir, "nation")
+    part = db.create_table("part", TABLES["part"])
+    t = db.begin()
+    part.load(spark.read.parquet(f"{sf_dir}/part.parquet").select(*[c for c, _ in TABLES["part"]]), t)
+    done(session, "UPDATE nation SET n_name = 'F' WHERE n_regionkey = 3;")
+    db.fold(db.table("nation"))
+    db.vacuum()
+    db.commit(t)
+    done(session, "DELETE FROM nation WHERE n_regionkey = 4;")
+    db.fold(db.table("nation"))
+    db.vacuum()
+    path, data = db.log.path, db.data
+    db.close()
+    again = Database(spark, str(path.parent), data=data)
+    versions = again.table("nation").versions().filter("not __gone").select(F.lit("nation").alias("t"), F.col("__key").alias("key"), F.col("n_name").alias("name"))
+    found = versions.unionByName(again.table("part").versions().select(F.lit("part").alias("t"), F.col("__key").alias("key"), F.col("p_name").alias("name")))
+    again.close()
+    return found
+
+
 def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Committed work after the database was closed, its log torn, and opened again; open work is gone."""
     db, session = loaded(spark, sf_dir, "nation")
@@ -291,6 +353,94 @@ def server_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(got.decode().splitlines())), "line bigint, reply string")
 
 
+# Locks and errors ---------------------------------------------------------------------------------
+
+
+def _outcome(work) -> str:
+    try:
+        work()
+    except LockError as e:
+        return type(e).__name__
+    return "done"
+
+
+def lock_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of writers that meet: one waits too long, one waits and builds on the other, two wait for each other."""
+    db, _ = loaded(spark, sf_dir, "nation")
+    nation, out = db.table("nation"), []
+    db.locks.timeout = 0.2
+    first, second = db.begin(), db.begin()
+    nation.update_by_key("1", ["1", "first", "0"], first)
+    out.append(("timeout", "second", _outcome(lambda: nation.update_by_key("1", ["1", "second", "0"], second))))
+    db.locks.timeout = 30.0
+    found: list[str] = []
+    waiting = threading.Thread(target=lambda: found.append(_outcome(lambda: nation.update_where({"n_regionkey": "9"}, Condition("n_nationkey", "=", "1"), second))))
+    waiting.start()
+    while second.id not in db.locks.waits and waiting.is_alive():
+        time.sleep(0.01)
+    db.commit(first)
+    waiting.join()
+    db.commit(second)
+    out += [("wait", "second", found[0]), ("wait", "row", "|".join(nation.get_by_key("1")))]
+    first, second = db.begin(), db.begin()
+    nation.delete_by_key("2", first)
+    nation.delete_by_key("3", second)
+    found = []
+    waiting = threading.Thread(target=lambda: found.append(_outcome(lambda: nation.delete_by_key("3", first))))
+    waiting.start()
+    while first.id not in db.locks.waits and waiting.is_alive():
+        time.sleep(0.01)
+    out.append(("deadlock", "second", _outcome(lambda: nation.delete_by_key("2", second))))
+    db.abort(second)
+    waiting.join()
+    db.commit(first)
+    out += [("deadlock", "first", found[0]), ("deadlock", "rows", str(len(nation.scan_all())))]
+    db.close()
+    return spark.createDataFrame(out, "scene string, who string, outcome string")
+
+
+BAD_STATEMENTS = (
+    "SELECT * FROM nation WHERE n_name = 'open;",
+    "SELECT n_name FROM nation WHERE n_nationkey ! 3;",
+    "SELECT # FROM nation;",
+    "CREATE TABLE x (a int, b int PRIMARY KEY);",
+    "CREATE TABLE x (a float);",
+    "CREATE TABLE nation (a int);",
+    "INSERT INTO nation VALUES (1);",
+    "SELECT n_none FROM nation;",
+    "UPDATE nation SET n_none = 1;",
+    "DELETE FROM nowhere;",
+    "SELECT * FROM nation WHERE n_regionkey > 'x';",
+    "COMMIT;",
+    "ROLLBACK;",
+)
+
+
+def statement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of errors, each as the result of a statement; the session goes on."""
+    db, session = loaded(spark, sf_dir, "nation")
+    rows = [(i, session.execute(s).message) for i, s in enumerate(BAD_STATEMENTS)]
+    rows.append((len(rows), str(len(session.execute("SELECT * FROM nation;").rows))))
+    db.close()
+    return spark.createDataFrame(rows, "place bigint, message string")
+
+
+def create_table_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made, filled and read by statements in any case, with comments, and ints as they are typed in."""
+    db = new_database(spark)
+    session = Session(db)
+    done(
+        session,
+        "create table Ports (code string primary key, -- the key\n depth int);",
+        "insert into Ports values ('b', 007);",
+        "INSERT INTO Ports VALUES ('a', '12 m'); -- read as 12",
+        "Insert Into Ports Values ('c;d', -5);",
+    )
+    found = session.frame("SELECT code, depth FROM Ports WHERE depth > -5;")
+    db.close()
+    return found
+
+
 # Streams and cache -------------------------------------------------------------------------------
 
 
@@ -338,13 +488,14 @@ def eviction_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = {"eq": "=", "neq": "!=", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
 
-_SNAPSHOT = """
-SELECT user_id, event_id, event_type, value{extra} FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events
-  WHERE event_type <> 'error' AND event_id < {xmax} AND event_id NOT IN (17, 42)) WHERE rn = 1 AND event_type <> 'signup'
+#: The touches of the two retention queries, in order: 20 hot pages three times, then 300 pages once, over 64 frames.
+_TOUCHES = """
+WITH touches AS (
+  SELECT 100 * r + p AS step, 'hot' || p AS page, true AS hot FROM range(3) a(r), range(20) b(p)
+  UNION ALL SELECT 1000 + p, 'scan' || p, false FROM range(300) c(p)),
+pages AS (SELECT page, hot, count(*) AS n, max(step) AS latest FROM touches GROUP BY page, hot),
 """
 
-
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "flagship": flagship,
@@ -366,9 +517,9 @@ def queries() -> dict[str, Query]:
         found[f"where_string_{name}"] = select("customer", sql=f"SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment {op} 'HOUSEHOLD';")
     for f in (
         numeric_vs_lexicographic, key_ordered_scan, range_scan_inclusive, index_search, index_range_scan, index_full_scan, point_lookups,
-        version_chain, snapshot_read, snapshot_before_after, old_snapshot, own_changes, reinsert, fold_effect, reopened,
+        range_by_key, version_chain, snapshot_read, snapshot_before_after, old_snapshot, own_changes, reinsert, fold_effect, vacuum_effect, reopened,
         rollback_effect, commit_effect, multi_table_commit, dml_affected_counts, server_session, stream_load, changes_feed,
-        eviction_lru2, eviction_clock,
+        lock_outcomes, statement_errors, create_table_effect, eviction_lru2, eviction_clock,
     ):
         found[f.__name__] = f
     return found
@@ -394,16 +545,38 @@ def oracle_sql() -> dict[str, str]:
             CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation""",
         "range_scan_inclusive": """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name FROM customer
             WHERE CAST(c_custkey AS VARCHAR) BETWEEN '10' AND '12'""",
-        "index_search": "SELECT p_partkey, p_name FROM part WHERE p_partkey = 42",
-        "index_range_scan": "SELECT p_size, p_partkey FROM part WHERE p_size BETWEEN 10 AND 20",
-        "index_full_scan": "SELECT p_partkey, p_size FROM part",
+        "index_search": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name FROM part WHERE p_partkey = 42",
+        "index_range_scan": "SELECT CAST(p_size AS BIGINT) AS p_size, CAST(p_partkey AS BIGINT) AS p_partkey FROM part WHERE p_size BETWEEN 10 AND 20",
+        "index_full_scan": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part",
+        "range_by_key": """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name, CASE WHEN c_nationkey < 12 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment
+            FROM customer WHERE CAST(c_custkey AS VARCHAR) BETWEEN '10' AND '12' AND c_custkey <> 11 UNION ALL SELECT '110000', 'late', 'NEW'""",
         "point_lookups": """SELECT CAST(k AS VARCHAR) AS key, n_name FROM range(-1, 30) t(k) LEFT JOIN nation ON n_nationkey = k""",
-        "version_chain": """SELECT user_id, event_id, lag(event_id) OVER w AS prev_seq, lead(event_id) OVER w AS next_seq
-            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
-        "snapshot_read": _SNAPSHOT.format(xmax=600, extra=""),
-        "snapshot_before_after": "UNION ALL".join(
-            f"({_SNAPSHOT.format(xmax=x, extra=f', CAST({x} AS INTEGER) AS xmax')})" for x in (300, 900)
-        ),
+        "version_chain": """SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(1 AS BIGINT) AS place, false AS has_previous, false AS gone, p_name FROM part
+            UNION ALL SELECT CAST(p_partkey AS VARCHAR), 2, true, false, 'changed' FROM part WHERE p_size >= 25
+            UNION ALL SELECT CAST(p_partkey AS VARCHAR), 3, true, true, NULL FROM part WHERE p_size > 45""",
+        "snapshot_read": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_size < 20 THEN 'B' ELSE p_brand END AS p_brand FROM part",
+        "snapshot_before_after": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_brand, 'before' AS moment FROM part
+            UNION ALL SELECT p_partkey, CASE WHEN p_size < 20 THEN 'B' ELSE p_brand END, 'after' FROM part WHERE p_size < 40""",
+        "vacuum_effect": """SELECT 'nation' AS t, CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_regionkey = 3 THEN 'F' ELSE n_name END AS name
+            FROM nation WHERE n_regionkey <> 4 UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part""",
+        "lock_outcomes": """SELECT * FROM (VALUES ('timeout', 'second', 'LockTimeoutError'), ('wait', 'second', 'done'), ('wait', 'row', '1|first|9'),
+            ('deadlock', 'second', 'DeadlockError'), ('deadlock', 'first', 'done')) v(scene, who, outcome)
+            UNION ALL SELECT 'deadlock', 'rows', CAST(count(*) AS VARCHAR) FROM nation WHERE n_nationkey NOT IN (2, 3)""",
+        "statement_errors": """SELECT CAST(place AS BIGINT) AS place, message FROM (VALUES
+            (0, 'unterminated string literal (at position 36)'), (1, 'expected ''='' after ''!'' (at position 44)'),
+            (2, 'unrecognized character ''#'' (at position 7)'), (3, 'PRIMARY KEY is only supported on the first column (at position 37)'),
+            (4, 'unknown column type ''float'' (expected int or string)'), (5, 'Table already exists: nation'),
+            (6, 'Mismatched column count in insert.'), (7, 'no such column: n_none'), (8, 'no such column: n_none'),
+            (9, 'Database::getTable: no such table: nowhere'), (10, 'stoll'),
+            (11, 'no transaction is in progress on this connection'), (12, 'no transaction is in progress on this connection')) v(place, message)
+            UNION ALL SELECT 13, CAST(count(*) AS VARCHAR) FROM nation""",
+        "create_table_effect": "SELECT * FROM (VALUES ('b', CAST(7 AS BIGINT)), ('a', 12)) v(code, depth)",
+        "eviction_lru2": f"""{_TOUCHES}
+            twice AS (SELECT page FROM pages WHERE n >= 2 ORDER BY latest DESC LIMIT 64)
+            SELECT 'lru2' AS policy, count(*) AS kept FROM pages JOIN twice USING (page) WHERE hot""",
+        "eviction_clock": f"""{_TOUCHES}
+            resident AS (SELECT page, hot FROM pages ORDER BY latest DESC LIMIT 64)
+            SELECT 'clock' AS policy, count(*) AS kept FROM resident WHERE hot""",
         "old_snapshot": """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, 'old' AS reader FROM part
             UNION ALL SELECT p_partkey, CASE WHEN p_size > 25 THEN 'changed' ELSE p_name END, 'new' FROM part WHERE p_size >= 5
             UNION ALL SELECT 1000000, 'new', 'new'""",

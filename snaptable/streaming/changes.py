@@ -15,8 +15,7 @@ def write_stream(stream: DataFrame, table: Table, checkpoint: str, name: str | N
     mark = name or table.name
 
     def load(rows: DataFrame, batch: int) -> None:
-        seen = any(e.get("stream") == [mark, batch] for e in reversed(table.db.log.entries))
-        if not seen:
+        if batch > table.db.log.marks.get(mark, -1):  # batches of a stream come in order
             table.load(rows, stream=[mark, batch])
 
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

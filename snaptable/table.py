@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ if TYPE_CHECKING:
 
 ROW_BY_ROW = 1000  # most rows that a statement changes through the log; more become a file
 FOLD_ROWS = 20_000  # logged rows of a table after which they are folded into a base
+FOLD_FILES = 64  # change files after which they are; or sooner, once they hold more rows than the base
 
 
 class TableError(Exception):
@@ -77,7 +78,18 @@ class Table:
         """Whether keys can be looked up without a Spark job."""
         own = txn.writes.get(self.number) if txn else None
         chains = self.db.txns.chains[self.number]
-        return not (own and (own.files or own.base)) and not chains.files and upto >= chains.since
+        return not (own and (own.files or own.base)) and upto >= chains.since
+
+    def _change(self, key: str, upto: int) -> tuple[int, int, list[str] | None] | None:
+        """The newest change of a key since the base, in the log or in a file: commit, sequence number, fields."""
+        chains = self.db.txns.chains[self.number]
+        found = chains.newest(key, upto)
+        for n, seq, file in reversed(chains.files):
+            if n <= upto and (found is None or (n, seq) > found[:2]):
+                row = self.db.points.find(file["files"], key)
+                if row is not None:
+                    found = (n, seq, None if row[1] else row[2:])
+        return found
 
     def _key_row(self, key: str, txn: Transaction | None, latest: bool = False) -> list[str] | None:
         upto = self.db.log.last if txn is None or latest else txn.snapshot
@@ -88,11 +100,39 @@ class Table:
             return [row[f"f{i}"] for i in range(len(self.schema.columns))] if row else None
         if own:
             return own[2]
-        chains = self.db.txns.chains[self.number]
-        found = chains.newest(key, upto)
+        found = self._change(key, upto)
         if found:
             return found[2]
-        return self.db.points.find(chains.base, key) if chains.base else None
+        base = self.db.txns.chains[self.number].base
+        row = self.db.points.find(base["files"], key) if base else None
+        return None if row is None else _texts(row)
+
+    def range_by_key(self, low: str, high: str, txn: Transaction | None = None) -> list[tuple[str, list[str]]]:
+        """(key, texts) of the visible rows whose key's text lies between two, both included, in byte order.
+
+        Without a Spark job where single keys need none; meant for short ranges, for all of it is held here."""
+        upto = self.db.log.last if txn is None else txn.snapshot
+        if not self._at_hand(upto, txn):
+            found = self.raw(txn).filter(F.col("__key").between(F.lit(low), F.lit(high))).orderBy("__key")
+            return [(r["__key"], [r[f"f{i}"] for i in range(len(self.schema.columns))]) for r in found.collect()]
+        chains = self.db.txns.chains[self.number]
+        base = self.db.points.between(chains.base["files"], low, high) if chains.base else []
+        own = {k: r[2] for k, r in txn.own[self.number].items() if low <= k <= high} if txn else {}
+        if not chains.files and not chains.keys and not own:
+            return [(k, _texts(r)) for k, r in base]
+        rows = {k: _texts(r) for k, r in base}
+        newest: dict[str, tuple[int, int, list[str] | None]] = {}
+        for n, seq, file in chains.files:
+            if n <= upto:
+                for k, r in self.db.points.between(file["files"], low, high):
+                    if k not in newest or newest[k][:2] < (n, seq):
+                        newest[k] = (n, seq, None if r[1] else list(r[2:]))
+        for k in chains.between(low, high):
+            found = chains.newest(k, upto)
+            if found and (k not in newest or newest[k][:2] < found[:2]):
+                newest[k] = found
+        rows |= {k: v[2] for k, v in newest.items()} | own
+        return sorted((k, f) for k, f in rows.items() if f is not None)
 
     def get_by_key(self, key: str, txn: Transaction | None = None) -> list[str] | None:
         """The visible row of a key, matched as text; None if there is none."""
@@ -102,7 +142,7 @@ class Table:
         """All visible rows in byte order of their keys, if only the log holds any; else None."""
         upto = self.db.log.last if txn is None else txn.snapshot
         chains = self.db.txns.chains[self.number]
-        if chains.base or not self._at_hand(upto, txn):
+        if chains.base or chains.files or not self._at_hand(upto, txn):
             return None
         rows = {}
         for key in list(chains.keys):
@@ -176,7 +216,12 @@ class Table:
             self.db.abort(own)
             raise
         self.db.commit(own)
-        if self.db.txns.chains[self.number].size > FOLD_ROWS:
+        self._fold_if_due()
+
+    def _fold_if_due(self) -> None:
+        """Folds once the log or the change files hold much; a fold costs a base, so the work stays in proportion."""
+        chains = self.db.txns.chains[self.number]
+        if chains.size > FOLD_ROWS or len(chains.files) > FOLD_FILES or (chains.base and chains.filed > max(FOLD_ROWS, chains.base["rows"])):
             self.db.fold(self)
 
     def _check(self, values: Sequence[str], message: str) -> list[str]:
@@ -193,7 +238,7 @@ class Table:
             self.db.locks.acquire((self.number, fields[0]), t.id)
             t.write(self.number, fields[0], self.db.txns.next_seq(), fields)
 
-    def _change(self, key: str, txn: Transaction, new: Callable[[list[str]], list[str] | None]) -> bool:
+    def _rewrite_key(self, key: str, txn: Transaction, new: Callable[[list[str]], list[str] | None]) -> bool:
         """Locks a key, reads its newest row again, and writes what becomes of it; False if it is gone."""
         self.db.locks.acquire((self.number, key), txn.id)
         now = self._key_row(key, txn, latest=True)
@@ -205,11 +250,11 @@ class Table:
     def update_by_key(self, key: str, values: Sequence[str], txn: Transaction | None = None) -> bool:
         fields = self._check(values, fixed.UPDATE_COUNT)
         with self._within(txn) as t:
-            return self._key_row(key, t) is not None and self._change(key, t, lambda _: fields)
+            return self._key_row(key, t) is not None and self._rewrite_key(key, t, lambda _: fields)
 
     def delete_by_key(self, key: str, txn: Transaction | None = None) -> bool:
         with self._within(txn) as t:
-            return self._key_row(key, t) is not None and self._change(key, t, lambda _: None)
+            return self._key_row(key, t) is not None and self._rewrite_key(key, t, lambda _: None)
 
     def update_where(self, assignments: Mapping[str, str], condition: Condition | None = None, txn: Transaction | None = None) -> int:
         """Sets columns of the matching rows; the number of rows. The key that a row is found by stays."""
@@ -229,7 +274,7 @@ class Table:
         with self._within(txn) as t:
             keys = self._few_keys(condition, t)
             if keys is not None:
-                return sum(self._change(k, t, new) for k in keys)
+                return sum(self._rewrite_key(k, t, new) for k in keys)
             return self._rewrite_bulk(condition, t, columns)
 
     def _few_keys(self, condition: Condition | None, txn: Transaction) -> list[str] | None:
@@ -258,17 +303,28 @@ class Table:
         return self._write_changes(matched.select("__key", F.lit(seq).cast("bigint").alias("__seq"), gone, *out), seq, txn)
 
     def _write_changes(self, changes: DataFrame, seq: int, txn: Transaction) -> int:
-        path = self.db.data_path(self.number)
-        changes.write.parquet(path)
-        n = self.db.spark.read.parquet(path).count()
+        """Writes one row for each changed key, in sorted ranges of keys like a base, so that single keys are found in them."""
+        path = self.db.data_path(self.number, txn)
+        changes.repartitionByRange("__key").sortWithinPartitions("__key").write.option("parquet.block.size", 16 << 20).parquet(path)
+        files = self._files(self.db.spark.read.schema(changes.schema).parquet(path))[0]
+        n = sum(f["rows"] for f in files)
         if n:
-            txn.writes[self.number].files.append({"path": path, "rows": n, "seq": seq})
+            txn.writes[self.number].files.append({"path": path, "rows": n, "seq": seq, "files": files})
         return n
 
+    @staticmethod
+    def _files(stored: DataFrame, *more) -> tuple[list[dict], list[dict]]:
+        """For each file its name, least and greatest key and rows, in order of keys; and the rows of all further sums."""
+        stats = stored.groupBy(F.input_file_name().alias("name")).agg(
+            F.min("__key").alias("low"), F.max("__key").alias("high"), F.count(F.lit(1)).alias("rows"), *more
+        )
+        found = sorted((r.asDict() for r in stats.collect()), key=lambda r: r["low"])  # a row for each file
+        return [{k: r[k] for k in ("name", "low", "high", "rows")} for r in found], found
+
     def load(self, rows: DataFrame, txn: Transaction | None = None, **mark) -> int:
         """Adds the rows of a DataFrame, its columns in the table's order, in one commit.
 
-        Of rows with one key the greatest stays. Integral columns of an int column stay numbers, so
+        Of rows with one key the greatest stays, by its columns in order, numbers as numbers. Integral columns of an int column stay numbers, so
         comparisons reach the Parquet scan. Nulls become empty texts. In an empty table the rows
         become its base, sorted by key; else they are changes, newer than what is there."""
         if len(rows.columns) != len(self.schema.columns):
@@ -281,13 +337,13 @@ class Table:
             named = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
             key = F.coalesce(F.col("c0").cast("string"), F.lit("")).alias("__key")
             if not self.view(t, latest=True).parts:
-                base = self.write_base(named.select(key, *named.columns), seq, False)
+                base = self.write_base(named.select(key, *named.columns), seq, False, t)
                 t.writes[self.number].base = base
                 n = base["rows"]
             else:
-                texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"f{i}") for i, c in enumerate(named.columns)]
-                newest = named.select(key, F.struct(*texts).alias("r")).groupBy("__key").agg(F.max("r").alias("r"))
-                frame = newest.select("__key", F.lit(seq).cast("bigint").alias("__seq"), F.lit(False).alias("__gone"), "r.*")
+                newest = named.select(key, F.struct(*self._typed(named)[0]).alias("r")).groupBy("__key").agg(F.max("r").alias("r"))
+                texts = [F.coalesce(F.col(f"r.c{i}").cast("string"), F.lit("")).alias(f"f{i}") for i in range(len(named.columns))]
+                frame = newest.select("__key", F.lit(seq).cast("bigint").alias("__seq"), F.lit(False).alias("__gone"), *texts)
                 n = self._write_changes(frame, seq, t)
         except BaseException:
             if own:
@@ -295,28 +351,33 @@ class Table:
             raise
         if own:
             self.db.txns.commit(t, **mark)
+            self._fold_if_due()
         return n
 
-    def write_base(self, rows: DataFrame, seq: int, folded: bool) -> dict:
-        """Writes (``__key``, ``c0``...) as a base: one row for each key, in ranges of keys, sorted.
-
-        One shuffle, for rows that are nearly one for each key; rows that repeat a key meet in one task."""
-        spark, path = self.db.spark, self.db.data_path(self.number)
+    def _typed(self, rows: DataFrame) -> tuple[list[Column], list[bool]]:
+        """``c0``... as a base stores them, and whether an int column is stored as text."""
         kept, text = [], []
         for i, c in enumerate(self.schema.columns):
             number = isinstance(rows.schema[f"c{i}"].dataType, T.IntegralType)
             text.append(c.type == "int" and not number)
             kept.append(F.col(f"c{i}").cast("bigint" if c.type == "int" and number else "string").alias(f"c{i}"))
+        return kept, text
+
+    def write_base(self, rows: DataFrame, seq: int, folded: bool, txn: Transaction) -> dict:
+        """Writes (``__key``, ``c0``...) as a base: one row for each key, in ranges of keys, sorted.
+
+        One shuffle, for rows that are nearly one for each key; rows that repeat a key meet in one task."""
+        spark, path = self.db.spark, self.db.data_path(self.number, txn)
+        kept, text = self._typed(rows)
         # Ranges of keys hold all rows of a key, so the window needs no shuffle of its own.
         first = Window.partitionBy("__key").orderBy(*[F.desc(f"c{i}") for i in range(len(kept))])
         ranged = rows.select("__key", *kept).repartitionByRange("__key").withColumn("__turn", F.row_number().over(first))
         ranged.filter("__turn = 1").drop("__turn").sortWithinPartitions("__key").write.option("parquet.block.size", 16 << 20).parquet(path)
-        stored = spark.read.parquet(path)
         gaps = [F.count(F.when(F.col(f"c{i}").isNull(), 1)).alias(f"g{i}") for i in range(len(kept))]
-        stats = stored.groupBy(F.input_file_name().alias("name")).agg(
-            F.min("__key").alias("low"), F.max("__key").alias("high"), F.count(F.lit(1)).alias("rows"), *gaps
-        )
-        found = sorted((r.asDict() for r in stats.collect()), key=lambda r: r["low"].encode())  # a row for each file
-        files = [{k: r[k] for k in ("name", "low", "high", "rows")} for r in found]
+        files, found = self._files(spark.read.parquet(path), *gaps)
         holes = [any(r[f"g{i}"] for r in found) for i in range(len(kept))]
-        return {"path": path, "rows": sum(r["rows"] for r in found), "seq": seq, "text": text, "gaps": holes, "files": files, "folded": folded}
+        return {"path": path, "rows": sum(f["rows"] for f in files), "seq": seq, "text": text, "gaps": holes, "files": files, "folded": folded}
+
+
+def _texts(values: Sequence) -> list[str]:
+    return ["" if v is None else str(v) for v in values]

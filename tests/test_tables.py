@@ -22,14 +22,13 @@ def users(db):
 
 
 def test_rows_come_and_go(users):
-    users.insert(["1", "Alice"])
-    users.insert(["2", "Bob"])
-    assert users.get_by_key("1") == ["1", "Alice"] and users.get_by_key("9") is None
-    assert users.update_by_key("1", ["1", "Alicia"]) and not users.update_by_key("9", ["9", "x"])
-    assert users.delete_by_key("2") and not users.delete_by_key("2")
-    assert users.scan_all() == [("1", ["1", "Alicia"])]
-    users.insert(["", ""])
-    assert users.get_by_key("") == ["", ""]
+    assert users.scan_all() == [] and users.get_by_key("40") is None
+    for key, name in (("40", "oar"), ("7", "mast"), ("", "")):
+        users.insert([key, name])
+    assert users.delete_by_key("7") and not users.delete_by_key("7") and not users.update_by_key("7", ["7", "x"])
+    assert users.update_by_key("40", ["40", "keel"])
+    assert users.scan_all() == [("", ["", ""]), ("40", ["40", "keel"])]
+    assert users.get_by_key("40") == ["40", "keel"] and users.get_by_key("") == ["", ""]
 
 
 def test_wrong_numbers_of_values(users):
@@ -77,28 +76,25 @@ def test_what_is_dropped_never_was(db, users):
     assert users.update_by_key("4", ["4", "e"]) and users.delete_by_key("4")  # a dropped delete leaves no trace
 
 
-def test_old_and_new_snapshots(db, users):
-    users.insert(["5", "Original"])
-    old = db.begin()
-    users.update_by_key("5", ["5", "Updated"])
-    assert users.get_by_key("5", old) == ["5", "Original"] and users.get_by_key("5") == ["5", "Updated"]
-    users.insert(["9", "Before"])
-    middle = db.begin()
-    users.delete_by_key("9")
-    users.insert(["9", "After"])
-    assert users.get_by_key("9", middle) == ["9", "Before"] and users.get_by_key("9") == ["9", "After"]
-    assert users.get_by_key("9", old) is None
+def test_readers_of_four_moments(db, users):
+    moments = [db.begin()]
+    for change in (lambda: users.insert(["a", "v1"]), lambda: users.update_by_key("a", ["a", "v2"]), lambda: users.delete_by_key("a"), lambda: users.insert(["a", "v4"])):
+        change()
+        moments.append(db.begin())
+    assert [users.get_by_key("a", t) for t in moments] == [None, ["a", "v1"], ["a", "v2"], None, ["a", "v4"]]
+    assert [len(users.scan_all(t)) for t in moments] == [0, 1, 1, 0, 1]
 
 
-def test_delete_and_insert_again_in_one_transaction(db, users):
-    users.insert(["8", "First"])
+def test_a_key_changed_many_times_in_one_transaction(db, users):
+    users.insert(["k", "before"])
     t = db.begin()
-    users.delete_by_key("8", t)
-    users.insert(["8", "Second"], t)
-    users.update_by_key("8", ["8", "Third"], t)
-    assert users.scan_all(t) == [("8", ["8", "Third"])] and users.scan_all() == [("8", ["8", "First"])]
+    users.update_by_key("k", ["k", "once"], t)
+    users.delete_by_key("k", t)
+    assert users.scan_all(t) == [] and not users.update_by_key("k", ["k", "no"], t)
+    users.insert(["k", "again"], t)
+    assert users.scan_all(t) == [("k", ["k", "again"])] and users.scan_all() == [("k", ["k", "before"])]
     db.commit(t)
-    assert users.scan_all() == [("8", ["8", "Third"])]
+    assert users.scan_all() == [("k", ["k", "again"])]
 
 
 def test_both_tables_or_none(db):
