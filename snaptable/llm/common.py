@@ -154,6 +154,17 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(named(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
+def least_count(frame: DataFrame, column: str, most: int) -> int | None:
+    """The least count whose rows, with all of higher counts, are no more than ``most``; None if there is none."""
+    cut, taken = None, 0
+    for level in frame.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(column)).toLocalIterator():
+        taken += level["rows"]
+        if taken > most:
+            break
+        cut = level[column]
+    return cut
+
+
 #: Rows of a key-only table that are sent to every executor; larger ones are joined by a shuffle.
 SMALL_ROWS = 100_000
 

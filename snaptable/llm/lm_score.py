@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import ship, text_of, worker_keeps, written
+from snaptable.llm.common import least_count, named, ship, text_of, worker_keeps, written
 
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text holds: before a text, and its end
 ORDER = 5
@@ -428,17 +428,6 @@ class Scores:
         return out, np.concatenate(absent)
 
 
-def least_count(frame: DataFrame, column: str, most: int) -> int | None:
-    """The least count whose rows, with all of higher counts, are no more than ``most``; None if there is none."""
-    cut, taken = None, 0
-    for level in frame.groupBy(column).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(column)).toLocalIterator():
-        taken += level["rows"]
-        if taken > most:
-            break
-        cut = level[column]
-    return cut
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n): ASCII-lower-cased words over all rows of ``text``, and each text's end as the empty word."""
 
@@ -473,7 +462,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     stay; without training rows every token is unknown; an empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), text_of(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), held_out.alias("held"), text_of(text_col).alias("text"))
     train = rows.filter(~F.col("held")).select("text")
     words = written(spark, count_words(train), "words")
     sums = words.agg(F.sum("n"), F.count(F.lit(1))).head()
@@ -547,8 +536,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     scored = keyed.select("id", "held", F.xxhash64("text").alias("print"), "text").mapInArrow(run, out)
     rare = words.filter(F.col("n") < cut) if cut is not None else words
     others = strings.filter(F.col("m") < common) if common is not None else strings
-    named = others.select(F.concat(F.lit(" #"), "code").alias("word"), F.lit(None).cast("bigint").alias("c"), "v")
-    joined = rare.select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("v")).unionByName(named)
+    numbered = others.select(F.concat(F.lit(" #"), "code").alias("word"), F.lit(None).cast("bigint").alias("c"), "v")
+    joined = rare.select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("v")).unionByName(numbered)
     met = scored.join(joined, "word", "left")
     log10 = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(below))
     summed = met.groupBy("id", "held", "print").agg(

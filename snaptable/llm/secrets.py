@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaptable.llm.common import named, ship, text_of
+from snaptable.llm.common import least_count, named, ship, text_of, written
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -232,9 +232,10 @@ def rank_words(words: Sequence[str]) -> dict[str, int]:
 
 
 def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
-    """The ``most`` commonest runs of 3 to 24 ASCII letters, in lower case, by the number of rows that hold them; ties by the word.
+    """The commonest runs of 3 to 24 ASCII letters, in lower case, by the number of rows that hold them; equals by the word.
 
-    Counted over all rows and whole texts; only the top of the list reaches the driver."""
+    As many as have the same number or more in at most ``most``, so equals are taken all or none. Counted over all rows and
+    whole texts; only those words reach the driver, and a row for each number."""
     ship(docs.sparkSession)
     letters = re.compile(rb"(?<![a-z])[a-z]{3,24}(?![a-z])")
 
@@ -254,7 +255,10 @@ def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS
             yield out()
 
     counts = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = written(docs.sparkSession, counts, "words")
+    cut = least_count(counts, "n", most)
+    found = counts.filter(F.col("n") >= cut).collect() if cut is not None else []
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())])
