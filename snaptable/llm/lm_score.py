@@ -3,9 +3,10 @@
 The model is a byte-context trie of order 5 with every context of the training texts, so it grows with
 them. Tasks count strings of six bytes, a context of five and its symbol; Spark adds them up. A symbol's
 probability is its share in the longest known context; an unseen symbol escapes (method C: as often as
-the context has distinct symbols) to the next shorter one, where symbols already seen above are
-excluded; below order 0 all symbols are alike. For a fixed model these are numbers per context and
-symbol. Contexts of up to two bytes (at most 65,793) are broadcast; the strings of six are dealt by the
+the context has distinct symbols) to the next shorter one. Symbols already seen above are excluded there, from its
+counts and from its escape alike; below order 0 all symbols are alike. A symbol seen after a context is seen
+after each shorter one, so what is excluded depends on the last context alone, and for a fixed model these are numbers
+per context and symbol. Contexts of up to two bytes (at most 65,793) are broadcast; the strings of six are dealt by the
 last three bytes of their context, so all that a longer context needs is in one group, and each
 string's number is computed once. A text's code length is a sum over its strings: the numbers of the
 commonest, at most HOT_GRAMS, are broadcast, all others are joined.
@@ -25,7 +26,7 @@ from snaptable.llm.common import least_count, named, ship, text_of, worker_keeps
 
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text holds: before a text, and its end
 ORDER = 5
-SHARE = float("inf")  # a context of three bytes or more is kept from 1 / SHARE of all counts on: all are
+SYMBOLS = 255  # all bytes but START
 HOT_WORDS = 1 << 18  # most words in the broadcast dictionary; rarer words are joined
 HOT_GRAMS = 1 << 22  # most six-byte strings in the broadcast model; rarer ones are joined
 _PIECE = 1 << 22
@@ -36,203 +37,11 @@ def padded(text: bytes) -> np.ndarray:
     return np.frombuffer(bytes([START] * ORDER) + text + bytes([END]), dtype=np.uint8)
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """Four-byte strings as numbers: each symbol of a padded text with the three before it."""
-    wide = raw.astype(np.uint32)
-    a, n = ORDER, len(raw)
-    return wide[a - 3 : n - 3] << 24 | wide[a - 2 : n - 2] << 16 | wide[a - 1 : n - 1] << 8 | wide[a:]
-
-
-class Trie:
-    """The kept contexts of three bytes and more; the contexts of a length are numbered from 1.
-
-    ``codes3`` are those of three bytes, ascending; ``deeper`` has for each further length the number of
-    each context without its first byte, and that byte."""
-
-    def __init__(self, codes3: np.ndarray, deeper: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        self.codes3, self.deeper = codes3.astype(np.int64), deeper or []
-
-    def ready(self) -> Trie:
-        """Dense lookups, made once in each worker: from three bytes, and from a number and the byte before."""
-        if not hasattr(self, "first"):
-            self.first = np.zeros(1 << 24, dtype=np.int32)
-            self.first[self.codes3] = np.arange(1, len(self.codes3) + 1)
-            self.steps, above = [], len(self.codes3)
-            for suffix, byte in self.deeper:
-                step = np.zeros((above + 1, 256), dtype=np.int32)
-                step[suffix, byte] = np.arange(1, len(suffix) + 1)
-                self.steps.append(step)
-                above = len(suffix)
-        return self
-
-    def __getstate__(self) -> dict:
-        return {"codes3": self.codes3, "deeper": self.deeper}
-
-    def walk(self, raw: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
-        """For each length the number of the context before each symbol; 0 where it is not kept."""
-        found = [self.first[code >> 8]]
-        for k, step in enumerate(self.steps, 4):
-            found.append(step[found[-1], raw[ORDER - k : len(raw) - k]])
-        return found
-
-
-class PPM:
-    """The fixed model: a row of log10 probabilities for each kept context."""
-
-    def __init__(self, trigrams: tuple[np.ndarray, np.ndarray], trie: Trie, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """(codes, counts) of two bytes and a symbol; and for each length of the trie those of number - 1 and a symbol."""
-        code, n = trigrams
-        self.trie = trie
-        symbol = np.full(256, True)
-        symbol[START] = False
-        root = np.zeros(256)
-        np.add.at(root, code & 255, n)
-        base = self._rows(root[None, :], np.where(symbol, 1.0, 0.0)[None, :])  # order -1: all symbols alike
-        one = np.zeros((256, 256))
-        np.add.at(one, ((code >> 8) & 255, code & 255), n)
-        parts = [self._rows(one, np.repeat(base, 256, axis=0)).astype(np.float32)]
-        codes2, at = np.unique(code >> 8, return_inverse=True)
-        self.codes2 = codes2.astype(np.int64)
-        parts.append(self._level(at * 256 + (code & 255), n, parts[0], self.codes2 & 255))
-        shorter = [np.searchsorted(self.codes2, trie.codes3 & 0xFFFF), *[suffix - 1 for suffix, _ in trie.deeper]]
-        for (code, n), below in zip(levels, shorter, strict=True):
-            parts.append(self._level(code, n, parts[-1], below))
-        self.starts = np.cumsum([0, *[len(p) for p in parts]])[1:-1]  # rows 0 to 255 are the contexts of one byte
-        self.table = np.log10(np.maximum(np.concatenate(parts), 1e-30))
-
-    @classmethod
-    def _level(cls, code: np.ndarray, n: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Rows of one length from (number and symbol, count); ``below`` names each one's row among the shorter."""
-        out = np.empty((len(below), 256), dtype=np.float32)
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], n[order]
-        for low in range(0, len(below), 4096):  # in blocks, so the work space stays small
-            high = min(len(below), low + 4096)
-            a, b = np.searchsorted(code, [low * 256, high * 256])
-            counts = np.zeros((high - low) * 256)
-            counts[code[a:b] - low * 256] = n[a:b]
-            out[low:high] = cls._rows(counts.reshape(-1, 256), above[below[low:high]].astype(np.float64))
-        return out
-
-    @staticmethod
-    def _rows(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities with escape and exclusion; ``below`` are the shorter context's (any scale)."""
-        seen = counts > 0
-        total, kinds = counts.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-        rest = np.where(seen, 0.0, below)
-        left = rest.sum(axis=1, keepdims=True)
-        escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-        escape = np.where(total == 0, 1.0, escape)
-        own = np.where(total > 0, counts / np.maximum(total, 1) * (1 - escape), 0.0)
-        return own + escape * rest / np.where(left > 0, left, 1.0)
-
-    def ready(self) -> PPM:
-        self.trie.ready()
-        if not hasattr(self, "row2"):
-            self.row2 = np.arange(1 << 16, dtype=np.int32) & 255
-            self.row2[self.codes2] = self.starts[0] + np.arange(len(self.codes2), dtype=np.int32)
-        return self
-
-    def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("trie", "codes2", "starts", "table")}
-
-    def score(self, text: bytes) -> float:
-        """log10 of the text's probability, its end included; long texts go piece by piece."""
-        raw, total = padded(text), 0.0
-        for at in range(0, len(raw) - ORDER, _PIECE):
-            part = raw[at : at + ORDER + _PIECE]
-            code = grams(part)
-            row = self.row2[(code >> 8) & 0xFFFF]
-            for start, number in zip(self.starts[1:], self.trie.walk(part, code), strict=True):
-                row = np.where(number > 0, start - 1 + number, row)
-            total += float(self.table[row, code & 255].sum(dtype=np.float64))
-        return total
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(code, n): four-byte strings over all rows of ``text``, added up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        held, size = [], 0
-
-        def merge() -> None:
-            nonlocal codes, counts, held, size
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-            codes, held, size = both, [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], names=["code", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                code = grams(padded(text.as_py().encode()))
-                held.append(code)
-                size += len(code)
-                if size > 3_000_000:
-                    merge()
-                    if len(codes) > 4_000_000:  # bounded memory: the sums go on in Spark
-                        yield out()
-                        codes, counts = codes[:0], counts[:0]
-        if held:
-            merge()
-        if len(codes):
-            yield out()
-
-    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def count_symbols(texts: DataFrame, trie: Trie) -> DataFrame:
-    """(code, n): what follows the trie's longest contexts, code being 256 * (number - 1) + symbol."""
-    shared, size = texts.sparkSession.sparkContext.broadcast(trie), 256 * len(trie.deeper[-1][0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_keeps("contexts", dict)
-        found = shared.value.ready()
-        counts = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                raw = padded(text.as_py().encode())
-                code = grams(raw)
-                number = found.walk(raw, code)[-1]
-                inside = number > 0
-                np.add.at(counts, (number[inside].astype(np.int64) - 1) * 256 + (code[inside] & 255), 1)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["code", "n"])
-
-    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def _arrays(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = frame.orderBy("code").toArrow()
     return found.column("code").to_numpy(), found.column("n").to_numpy().astype(np.float64)
 
 
-def train_ppm(texts: DataFrame) -> PPM:
-    """The whole model in memory, for few texts; ``lm_score`` keeps the longer contexts in a table."""
-    spark = texts.sparkSession
-    four = written(spark, count_grams(texts), "grams")
-    total = four.agg(F.sum("n")).head()[0] or 0
-    three = _arrays(four.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")))
-    context = F.shiftright("code", 8)
-    kept = four.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).filter(F.col("all") * SHARE >= total)
-    code, n = _arrays(four.withColumn("context", context).join(kept, "context").select("code", "n"))
-    codes3, at = np.unique(code >> 8, return_inverse=True)
-    trie, levels = Trie(codes3), [(at * 256 + (code & 255), n)]
-    names = codes3  # the contexts of the longest length so far, as numbers, ascending
-    for length in range(4, ORDER + 1):
-        code, n = levels[-1]
-        keep = (n * SHARE >= total) & ((code & 255) != END)
-        longer = np.sort(names[code[keep] >> 8] << 8 | (code[keep] & 255))
-        suffix = np.searchsorted(names, longer & ((1 << 8 * (length - 1)) - 1)) + 1
-        trie = Trie(codes3, [*trie.deeper, (suffix, (longer >> 8 * (length - 1)).astype(np.uint8))])
-        levels.append(_arrays(count_symbols(texts, trie)))
-        names = longer
-    return PPM(three, trie, levels)
-
-
 def chunks(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(six-byte strings, the text of each, first place of each text's piece): padded texts, some at a time.
 
@@ -302,59 +111,89 @@ def count_strings(rows: DataFrame) -> DataFrame:
     return found.groupBy(F.shiftright("code", 1).alias("code")).agg(F.sum(learned).alias("n"), F.sum("n").alias("m"))
 
 
-def short_contexts(trigrams: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each two bytes, rows of probabilities): all contexts of up to two bytes."""
-    code, n = trigrams
-    symbol = np.ones(256)
-    symbol[START] = 0
-    root, one = np.zeros((1, 256)), np.zeros((256, 256))
-    np.add.at(root[0], code & 255, n)
-    np.add.at(one, ((code >> 8) & 255, code & 255), n)
-    first = PPM._rows(one, np.repeat(PPM._rows(root, symbol[None, :] / symbol.sum()), 256, axis=0))
-    codes2, at = np.unique(code >> 8, return_inverse=True)
-    two = np.zeros((len(codes2), 256))
-    np.add.at(two, (at, code & 255), n)
-    row = np.arange(1 << 16) & 255
-    row[codes2] = 256 + np.arange(len(codes2))
-    return row, np.concatenate([first, PPM._rows(two, first[codes2 & 255])])
-
-
-def longer_contexts(code: np.ndarray, n: np.ndarray, short: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+def blend(n: np.ndarray, q: np.ndarray, total: np.ndarray, kinds: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Probabilities of symbols in a context of which ``total`` counts of ``kinds`` symbols are not excluded.
+
+    ``n`` are the symbols' counts, ``q`` their probabilities after an escape; nothing escapes where all symbols
+    are among the context's ``every`` kinds, and all does where no count is left."""
+    escape = np.where(total > 0, np.where(every < SYMBOLS, kinds / np.maximum(total + kinds, 1), 0.0), 1.0)
+    return np.where(n > 0, (1 - escape) * n / np.maximum(total, 1), escape * q)
+
+
+class ShortContexts:
+    """All contexts of up to two bytes, from (code, count) of two bytes and a symbol.
+
+    Of each context of two bytes the counts, and after an escape from it the probabilities, which for an
+    unmet one are those of its last byte."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        root, one = np.zeros((1, 256)), np.zeros((256, 256))
+        np.add.at(root[0], code & 255, n)
+        np.add.at(one, ((code >> 8) & 255, code & 255), n)
+        codes2, at = np.unique(code >> 8, return_inverse=True)
+        two = np.zeros((len(codes2), 256))
+        np.add.at(two, (at, code & 255), n)
+        alike = np.full((1, 256), 1 / max(1, SYMBOLS - np.count_nonzero(root)))
+        alike[0, START] = 0
+        first = self._escaped(one, root, alike)
+        of = codes2 & 255
+        own = blend(one, first, *self._sizes(one))
+        self.after = np.concatenate([own, self._escaped(two, one[of], first[of])])
+        self.row = np.arange(1 << 16) & 255
+        self.row[codes2] = 256 + np.arange(len(codes2))
+        total, kinds, _ = self._sizes(two)
+        self.total, self.kinds = (np.concatenate([np.zeros(256), x[:, 0]]) for x in (total, kinds))
+        self.code, self.n = code, n  # ascending
+
+    @staticmethod
+    def _sizes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kinds = np.count_nonzero(counts, axis=1)[:, None].astype(np.float64)
+        return counts.sum(axis=1, keepdims=True), kinds, kinds
+
+    @classmethod
+    def _escaped(cls, counts: np.ndarray, shorter: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Probabilities after an escape, from the counts and such probabilities of each one's shorter context."""
+        total, kinds, every = cls._sizes(shorter)
+        _, seen, _ = cls._sizes(counts)
+        return blend(shorter, q, total - (shorter * (counts > 0)).sum(axis=1, keepdims=True), kinds - seen, every)
+
+    def at(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Count, probability after an escape, and the context's total and kinds, of two bytes and a symbol each."""
+        row = self.row[code >> 8]
+        place = np.searchsorted(self.code, code)
+        n = np.zeros(len(code))
+        met = place < len(self.code)
+        met[met] = self.code[place[met]] == code[met]
+        n[met] = self.n[place[met]]
+        return n, self.after[row, code & 255], self.total[row], self.kinds[row]
+
+
+def longer_contexts(code: np.ndarray, n: np.ndarray, short: ShortContexts) -> np.ndarray:
     """The probability of each six-byte string's symbol after its context.
 
     ``code`` holds all strings whose contexts end with the same three bytes, for some such endings; ``n`` is 0
-    for a string that only scored texts have. A symbol seen after a context is seen after each shorter one."""
-    row, rows = short
-    four = np.unique(code & 0xFFFFFFFF)
-    below = rows[row[(four >> 8) & 0xFFFF], four & 255]
-    shorter = four
+    for a string that only scored texts have."""
+    shorter = np.unique(code & 0xFFFFFFFF)
+    count, q, total, kinds = short.at(shorter & 0xFFFFFF)
     for length in range(3, ORDER + 1):
         keys, at = np.unique(code & ((1 << 8 * (length + 1)) - 1), return_inverse=True)
-        if length > 3:
-            below = below[np.searchsorted(shorter, keys & ((1 << 8 * length) - 1))]
+        up = np.searchsorted(shorter, keys & ((1 << 8 * length) - 1)) if length > 3 else np.arange(len(keys))
         counts = np.bincount(at, weights=n, minlength=len(keys))
-        names, context = np.unique(keys >> 8, return_inverse=True)
+        context = np.unique(keys >> 8, return_inverse=True)[1]
         seen = counts > 0
-        total, kinds = np.bincount(context, weights=counts), np.bincount(context, weights=seen)
-        left = 1 - np.bincount(context, weights=below * seen)
-        left[left < 1e-13] = 0  # every symbol was seen
-        kept = (total > 0) & (total >= least)
-        if length > 3:  # three before a text are enough
-            kept &= names >> 8 * (length - 4) != int.from_bytes(bytes([START] * 4), "big")
-        escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-        own = counts / np.maximum(total, 1)[context] * (1 - escape)[context]
-        rest = (escape / np.where(left > 0, left, 1))[context] * below
-        below, shorter = np.where(kept[context], np.where(seen, own, rest), below), keys
-    return below[np.searchsorted(shorter, code)]
+        own, own_kinds = np.bincount(context, weights=counts)[context], np.bincount(context, weights=seen)[context]
+        excluded = np.bincount(context, weights=count[up] * seen)[context]
+        q = blend(count[up], q[up], total[up] - excluded, kinds[up] - own_kinds, kinds[up])
+        count, total, kinds, shorter = counts, own, own_kinds, keys
+    return blend(count, q, total, kinds, kinds)[np.searchsorted(shorter, code)]
 
 
 def string_scores(counted: DataFrame) -> DataFrame:
     """(code, m, v): log10 of the probability of each six-byte string's symbol after its context."""
     spark = counted.sparkSession
     learned = counted.filter("n > 0")
-    total = learned.agg(F.sum("n")).head()[0] or 0
     three = _arrays(learned.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")))
-    shared, least = spark.sparkContext.broadcast(short_contexts(three)), total / SHARE
+    shared = spark.sparkContext.broadcast(ShortContexts(*three))
     ending = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFFFF))
     dealt = counted.select(ending.alias("ending"), "code", "n", "m").repartition("ending").sortWithinPartitions("ending")
 
@@ -378,7 +217,7 @@ def string_scores(counted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("short contexts", dict)
         for _, code, n, m in groups(batches):
-            v = np.log10(np.maximum(longer_contexts(code, n, shared.value, least), 1e-30))
+            v = np.log10(np.maximum(longer_contexts(code, n, shared.value), 1e-30))
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(m), pa.array(v)], names=["code", "m", "v"])
 
     return dealt.mapInArrow(run, "code bigint, m bigint, v double")

@@ -11,7 +11,7 @@ from snaptable.llm.common import remainder
 
 
 class Plain:
-    """The same model by dictionaries: all contexts of two bytes, and those of three to five that hold enough."""
+    """The same model by dictionaries, walking down from the longest context of each symbol."""
 
     def __init__(self, texts):
         self.counts = {}
@@ -19,27 +19,23 @@ class Plain:
             raw = bytes([lm.START] * 5) + t.encode() + bytes([lm.END])
             for i in range(5, len(raw)):
                 for k in range(6):
-                    if not raw[i - k : i].startswith(bytes([lm.START] * 4)):  # three before a text are enough
-                        self.counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
-        total = sum(self.counts.get(b"", Counter()).values())
-        self.counts = {c: n for c, n in self.counts.items() if len(c) < 3 or sum(n.values()) * lm.SHARE >= total}
+                    self.counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
 
     def row(self, context):
         """Probabilities of all symbols after a context."""
-        if context is None:
-            row = np.ones(256)
-            row[lm.START] = 0
-            return row / row.sum()
-        below = self.row(context[1:] if context else None)
-        n = self.counts.get(context)
-        if not n:
-            return below
-        total, kinds = sum(n.values()), len(n)
-        rest = np.array([0.0 if s in n else p for s, p in enumerate(below)])
-        escape = kinds / (total + kinds) if rest.sum() > 0 else 0.0
-        row = escape * rest / (rest.sum() or 1)
-        for s, c in n.items():
-            row[s] = (1 - escape) * c / total
+        row, weight, excluded = np.zeros(256), 1.0, set()
+        for k in range(len(context) + 1):
+            n = self.counts.get(context[k:], {})
+            left = {s: c for s, c in n.items() if s not in excluded}
+            if left:
+                total = sum(left.values())
+                escape = len(left) / (total + len(left)) if len(n) < 255 else 0.0
+                for s, c in left.items():
+                    row[s] = weight * (1 - escape) * c / total
+                weight *= escape
+                excluded |= set(left)
+        for s in set(range(256)) - excluded - {lm.START}:
+            row[s] = weight / (255 - len(excluded))
         return row
 
     def score(self, text):
@@ -49,7 +45,6 @@ class Plain:
 
 def test_scores_as_by_dictionaries(spark, corpus, monkeypatch):
     held = remainder("doc_id", 7) == 2
-    monkeypatch.setattr(lm, "SHARE", 300)  # so that some contexts of three bytes are left out
     monkeypatch.setattr(lm, "HOT_WORDS", 50)
     texts = texts_of(corpus)
     out = {r.doc_id: r for r in lm.lm_score(corpus, held).collect()}
@@ -65,13 +60,38 @@ def test_scores_as_by_dictionaries(spark, corpus, monkeypatch):
         assert out[i].score == pytest.approx(plain.score(texts[i]), rel=1e-5)
 
 
-def test_rows_are_distributions(corpus):
-    model = lm.train_ppm(corpus.select("text")).ready()
-    assert len(model.trie.deeper) == 2 and all(len(suffix) for suffix, _ in model.trie.deeper)
-    assert np.allclose((10.0**model.table).sum(axis=1), 1, atol=1e-4)
-    assert model.score(b"the tor") > model.score(b"eht rot") > -300
-    long = b"the torash " * 600_000
-    assert model.score(long) == pytest.approx(model.score(long[:11_000]) * len(long) / 11_000, rel=0.01)
+def strings(texts):
+    """(codes, counts) of six-byte strings"""
+    found = Counter()
+    for t in texts:
+        raw = bytes([lm.START] * 5) + t + bytes([lm.END])
+        found.update(int.from_bytes(raw[i : i + 6], "big") for i in range(len(raw) - 5))
+    codes = sorted(found)
+    return np.array(codes, dtype=np.int64), np.array([float(found[c]) for c in codes], dtype=np.float64)
+
+
+@pytest.mark.parametrize("texts", [[b"abracadabra abracadabra", b"cabal"], [bytes(range(256)) * 2, bytes(range(256))[::-1], b"xyz"], []])
+def test_rows_are_distributions(texts):
+    texts = [bytes(b for b in t if b not in (lm.START, lm.END)) for t in texts]
+    code, n = strings(texts)
+    three, at = np.unique(code & 0xFFFFFF, return_inverse=True)
+    short = lm.ShortContexts(three, np.bincount(at, weights=n))
+    for context in [b"\xfe" * 5, b"abrac", b"zabra", b"zzzra", b"zzzza", b"zzzzz", b"wxyzw"]:
+        row = [int.from_bytes(context, "big") << 8 | s for s in range(256)]
+        every = np.union1d(code, row)
+        known = dict(zip(code.tolist(), n.tolist(), strict=True))
+        p = lm.longer_contexts(every, np.array([known.get(c, 0.0) for c in every.tolist()]), short)
+        found = p[np.searchsorted(every, row)]
+        assert found[lm.START] == 0 and (np.delete(found, lm.START) > 0).all() and found.sum() == pytest.approx(1)
+
+
+def test_a_very_long_text_goes_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_PIECE", 1000)
+    monkeypatch.setattr(lm, "_CHUNK", 1500)
+    docs = spark.createDataFrame([(1, "the torash " * 900), (2, "another")], "doc_id bigint, text string")
+    plain = Plain(["the torash " * 900, "another"])
+    for r in lm.lm_score(docs, F.lit(False)).collect():
+        assert r.score == pytest.approx(plain.score("the torash " * 900 if r.doc_id == 1 else "another"), rel=1e-5)
 
 
 def test_held_out_text_of_the_same_kind_is_likelier(corpus):
