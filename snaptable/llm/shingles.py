@@ -5,7 +5,8 @@ wide links strangers, so SimHash with its small budget finds close copies only.
 joined by those of the shingle sets. Equal texts (white space and ASCII case aside) collapse first.
 Minima of hashed shingles in bands propose which texts may be alike; all texts that proposals connect form a
 group, and within a group every two texts are compared by their whole shingle sets, so what is linked is exact. A
-group over ``group_rows`` is dealt into chunks and every pair of chunks is a task's group of its own. Two texts of
+group over ``group_rows``, or of long texts with over ``group_shingles`` in all, is dealt into chunks and every pair of
+chunks is a task's group of its own, so what a task holds is bounded. Two texts of
 similarity 0.8 share one of the 20 bands with a probability of 0.9996, more alike ones more surely.
 """
 
@@ -71,7 +72,8 @@ def linked(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, budget: int = 4, group_rows: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, budget: int = 4,
+    group_rows: int = 1024, group_shingles: int = 4_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: identifier and ``component_id``, the least identifier that links reach.
 
@@ -87,18 +89,20 @@ def near_duplicates(
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("shingles", dict)
         for batch in batches:
-            found, bits, keys = [], [], []
+            found, bits, sizes, keys = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py()
                 hashes = shingle_hashes(text, words)
                 found.append(xxhash.xxh64_intdigest(normal(text)))
                 bits.append(majority(hashes))
-                keys.append(np.array(band_keys(np.unique(hashes)) if len(hashes) else [], dtype=np.uint64).view(np.int64))
+                hashes = np.unique(hashes)
+                sizes.append(len(hashes))
+                keys.append(np.array(band_keys(hashes) if len(hashes) else [], dtype=np.uint64).view(np.int64))
             signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (found, bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "fp", "size", "keys"])
 
-    known = written(spark, rows.mapInArrow(prints, f"id {kind}, print bigint, fp bigint, keys array<bigint>"), "shingle_prints")
-    nodes = written(spark, known.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    known = written(spark, rows.mapInArrow(prints, f"id {kind}, print bigint, fp bigint, size bigint, keys array<bigint>"), "shingle_prints")
+    nodes = written(spark, known.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
     firsts = nodes.groupBy("fp").agg(F.min("print").alias("first"))
     same = nodes.join(firsts, "fp").filter("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b"))
     near = links(firsts.select("fp"), budget)
@@ -107,7 +111,9 @@ def near_duplicates(
     banded = nodes.select("print", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("print").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     groups = components(banded.join(shared, "key").filter("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b")))
-    large = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("chunks")).filter("chunks > 1")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)), F.ceil(F.sum("size") / F.lit(group_shingles))).cast("int")
+    sized = groups.join(nodes.select(F.col("print").alias("node"), "size"), "node")
+    large = sized.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("shingles", dict)

@@ -45,12 +45,12 @@ def connected(texts):
     return {i: top(i) for i in found}
 
 
-@pytest.mark.parametrize("group_rows", [1024, 3])
-def test_components_are_those_of_all_pairs(spark, group_rows):
+@pytest.mark.parametrize("bounds", [{}, {"group_rows": 3}, {"group_shingles": 400}])
+def test_components_are_those_of_all_pairs(spark, bounds):
     docs = spark.createDataFrame(made(), "doc_id bigint, text string").repartition(3)
     wanted = connected(texts_of(docs))
     assert len(set(wanted.values())) < 100
-    assert {r.doc_id: r.component_id for r in sh.near_duplicates(docs, group_rows=group_rows).collect()} == wanted
+    assert {r.doc_id: r.component_id for r in sh.near_duplicates(docs, **bounds).collect()} == wanted
 
 
 def test_one_document_of_each_group_stays(corpus):
